@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracegrid.llm import line_dedup, sharding, warc
+from tracegrid.llm import line_dedup, minhash, sharding, warc
 from tracegrid.llm.runtime import table
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -25,7 +29,7 @@ def op10_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc_transactions, op8_line_dedup, op10_minimax_sharding)}
+    return {f.__name__: f for f in (op1_order_minhash, op2_warc_transactions, op8_line_dedup, op10_minimax_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

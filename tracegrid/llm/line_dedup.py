@@ -44,9 +44,9 @@ def windows(docs: DataFrame, size: int = WINDOW_LINES) -> DataFrame:
         )
 
     return (
-        docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th"), _content(F.col("text")).alias("_c"))
-        .select("_id", "_th", F.posexplode(F.transform(starts, window)).alias("_n", "_w"))
-        .select("_id", "_th", "_n", "_w.h1", "_w.h2", "_w.covers")
+        docs.select(F.col("doc_id").alias("__line_id"), F.xxhash64("text").alias("__line_th"), _content(F.col("text")).alias("_c"))
+        .select("__line_id", "__line_th", F.posexplode(F.transform(starts, window)).alias("_n", "_w"))
+        .select("__line_id", "__line_th", "_n", "_w.h1", "_w.h2", "_w.covers")
     )
 
 
@@ -55,15 +55,15 @@ def covered_lines(docs: DataFrame, size: int = WINDOW_LINES) -> DataFrame:
     found = windows(docs, size)
     first = (
         found.groupBy("h1", "h2")
-        .agg(F.min(F.struct("_id", "_th", "_n")).alias("first"), F.max(F.struct("_id", "_th", "_n")).alias("last"))
+        .agg(F.min(F.struct("__line_id", "__line_th", "_n")).alias("first"), F.max(F.struct("__line_id", "__line_th", "_n")).alias("last"))
         .filter(~F.col("first").eqNullSafe(F.col("last")))
         .select("h1", "h2", "first")
     )
-    later = found.join(first, ["h1", "h2"]).filter(~F.col("first").eqNullSafe(F.struct("_id", "_th", "_n")))
+    later = found.join(first, ["h1", "h2"]).filter(~F.col("first").eqNullSafe(F.struct("__line_id", "__line_th", "_n")))
     return (
-        later.select("_id", "_th", F.explode("covers").alias("at"))
-        .groupBy("_id", "_th")
-        .agg(F.collect_set("at").alias("_cut"))
+        later.select("__line_id", "__line_th", F.explode("covers").alias("at"))
+        .groupBy("__line_id", "__line_th")
+        .agg(F.collect_set("at").alias("__line_cut"))
     )
 
 
@@ -73,15 +73,15 @@ def dedup_lines(docs: DataFrame, size: int = WINDOW_LINES) -> DataFrame:
     names = [c for c in docs.columns if c not in ("lines_total", "lines_removed")]
     joined = (
         docs.select(*[F.col(f"`{c}`") for c in names])
-        .withColumn("_th2", F.xxhash64("text"))
-        .join(cut, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th2") == F.col("_th")), "left")
+        .withColumn("__line_key", F.xxhash64("text"))
+        .join(cut, F.col("doc_id").eqNullSafe(F.col("__line_id")) & (F.col("__line_key") == F.col("__line_th")), "left")
     )
-    kept = F.filter(_lines(F.col("text")), lambda _, i: ~F.array_contains(F.col("_cut"), i))
-    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.concat_ws("\n", kept))
+    kept = F.filter(_lines(F.col("text")), lambda _, i: ~F.array_contains(F.col("__line_cut"), i))
+    text = F.when(F.col("__line_cut").isNull(), F.col("text")).otherwise(F.concat_ws("\n", kept))
     return joined.select(
         *[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in names],
         F.size(_lines(F.col("text"))).cast("long").alias("lines_total"),
-        F.coalesce(F.size("_cut"), F.lit(0)).cast("long").alias("lines_removed"),
+        F.coalesce(F.size("__line_cut"), F.lit(0)).cast("long").alias("lines_removed"),
     )
 
 
