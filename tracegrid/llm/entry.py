@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracegrid.llm import line_dedup, minhash, sharding, warc
+from tracegrid.llm import decontaminate, line_dedup, minhash, packing, sharding, warc
 from tracegrid.llm.runtime import table
 
 
@@ -19,6 +19,14 @@ def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op3_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
+def op6_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "lines_total", "lines_removed", F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
@@ -29,7 +37,7 @@ def op10_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_order_minhash, op2_warc_transactions, op8_line_dedup, op10_minimax_sharding)}
+    return {f.__name__: f for f in (op1_order_minhash, op2_warc_transactions, op3_simhash_decontamination, op6_bestfit_packing, op8_line_dedup, op10_minimax_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracegrid.llm.components import components
-from tracegrid.llm.runtime import materialised
+from tracegrid.llm.runtime import materialised, text_batches
 from tracegrid.llm.textvec import U64, chunks, mix, shingles, signed, with_occurrence, words
 
 SHINGLE_WORDS = 5
@@ -165,6 +165,7 @@ def _near(a: str, b: str) -> F.Column:
 
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     """``doc_id, class_id, n_copies`` for every row of ``docs``: the class is named by its least doc_id."""
+    text_batches(docs.sparkSession)
     features = materialised(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_features, FEATURES), "omh-features")
     exact = features.filter("doc_id IS NOT NULL AND n_words > 0").groupBy("h1", "h2", "n_words").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"))
     exact = materialised(exact, "omh-exact")

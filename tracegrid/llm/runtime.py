@@ -40,6 +40,13 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Keep Arrow batches small enough for rows that carry long texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def text_key(text) -> list:
     """Two independent 64-bit hashes of a text: 128 bits that stand for it in joins and groups."""
     text = F.coalesce(text, F.lit(""))
