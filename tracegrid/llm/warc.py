@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracegrid.llm.runtime import new_folder
+from tracegrid.llm.runtime import materialised, new_folder
 
 MIN_REVISIT_BYTES = 100
 CRLF = "\r\n"
@@ -238,7 +238,7 @@ def round_trip(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFram
     path = new_folder(spark, "warc")
     write_archive(pages, path, min_bytes)
     page = F.nullif(F.col("metadata")[0]["fields"]["page_id"], F.lit("")).cast("long")
-    found = assemble(read_records(spark, path, keep_payload=False), payload=False)
+    found = assemble(materialised(read_records(spark, path, keep_payload=False), "warc-records"), payload=False)
     found = found.select(
         page.alias("page_id"),
         F.col("capture.record_id").alias("record_id"),
