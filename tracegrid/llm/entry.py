@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracegrid.llm import ann, decontaminate, line_dedup, minhash, packing, quality, sharding, toxicity, warc
+from tracegrid.llm import ann, decontaminate, line_dedup, minhash, packing, quality, sharding, suffix_dedup, toxicity, warc
 from tracegrid.llm.runtime import table
 
 
@@ -23,6 +23,10 @@ def op3_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep_bytes=False)
+
+
 def op5_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_order_minhash,
         op2_warc_transactions,
         op3_simhash_decontamination,
+        op4_suffix_dedup,
         op5_counterfactual_toxicity,
         op6_bestfit_packing,
         op7_pruned_graph_search,
