@@ -8,9 +8,10 @@ band that the threshold leaves, L, gives the similarity L / (n + m - L), and 0.8
 Classes are the connected components of the links.
 
 The work stays near linear in the size of groups. Texts with equal word sequences are one
-representative. In a bucket all members are first compared with its leader only; after components are
-formed, only pairs that could still join two components are compared, and buckets in which very many
-components meet (a shared passage, say) are split by a second pick on which similar texts agree as well.
+representative. In a bucket all members are first compared with its leader only. After components are
+formed, members that stray from their leader's component are compared with the rest by an exact
+set-similarity join over their rarest shingles, which finds every pair that can still be similar without
+listing the pairs of a group.
 
 Defined cases: texts without a word and rows with a null ``doc_id`` are never grouped; texts of one to
 four words, and of too few shingles for a pick, are grouped with equal word sequences only; rows that
@@ -26,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tracegrid.llm.components import components
 from tracegrid.llm.runtime import materialised, text_batches
@@ -35,7 +37,7 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 SKETCHES = 20
 PICKS = 4
-CROWDED = 32
+SIZE_CLASS = 1.02
 
 _rng = np.random.default_rng(20240601)
 _ADD = _rng.integers(0, 1 << 63, SKETCHES, dtype=np.int64).astype(U64)
@@ -163,6 +165,40 @@ def _near(a: str, b: str) -> F.Column:
     return (F.col(a) * SIMILARITY <= F.col(b) + 1e-9) & (F.col(b) * SIMILARITY <= F.col(a) + 1e-9)
 
 
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start, texts in chunks(batch.column(1)):
+            x, sptr = shingles(*words(texts), SHINGLE_WORDS)
+            at = start + np.repeat(np.arange(len(texts)), np.diff(sptr))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(signed(with_occurrence(x, sptr)))], ["id", "x"])
+
+
+def _across(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of ``docs(id, n, c, strays)`` that can still be similar, one of them straying from its leader.
+
+    This is an exact set-similarity join. A text's labelled shingles are put in one order for all, rarest
+    first. Similar texts of n and m shingles share at least t = 0.8 / 1.8 * (n + m); where their first shared
+    shingle is at place i of the one, n - i >= t, and likewise for the other. So a shingle at place i
+    concerns only partners of at most (n - i) * 1.8 / 0.8 - n shingles. Those sizes, in classes of a few
+    hundredths, are part of the join key, so shingles that a whole group has in common meet almost nobody.
+    """
+    ratio = (1 + SIMILARITY) / SIMILARITY
+    own = texts.join(docs.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_labelled, "id long, x long")
+    own = materialised(own, "omh-shingles")
+    often = own.groupBy("x").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
+    rare = Window.partitionBy("id").orderBy("f", "x")
+    placed = own.join(often, "x", "left").withColumn("f", F.coalesce("f", F.lit(1))).withColumn("i", F.row_number().over(rare) - 1)
+    placed = placed.filter("f > 1").join(docs, "id").withColumn("most", (F.col("n") - F.col("i")) * ratio - F.col("n") + 1e-6)
+    placed = materialised(placed.filter(F.col("most") >= F.col("n") * SIMILARITY - 1e-6).select("id", "n", "c", "strays", "x", "most"), "omh-places")
+    size_class = lambda v: F.floor(F.log(v) / F.log(F.lit(SIZE_CLASS))).cast("int")
+    reach = F.least(F.col("most"), F.col("n") / SIMILARITY + 1e-6)
+    classes = F.sequence(size_class(F.greatest(F.lit(1.0), F.col("n") * SIMILARITY - 1e-6)), F.greatest(size_class(F.greatest(F.lit(1.0), F.col("n") * SIMILARITY - 1e-6)), size_class(reach)))
+    a = placed.filter("strays").select("x", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("most").alias("most_a"), F.explode(classes).alias("size"))
+    b = placed.select("x", size_class(F.col("n").cast("double")).alias("size"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("most").alias("most_b"), F.col("strays").alias("both"))
+    met = a.join(b, ["x", "size"]).filter("ca <> cb AND (a < b OR NOT both) AND nb <= most_a AND na <= most_b")
+    return met.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
+
+
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     """``doc_id, class_id, n_copies`` for every row of ``docs``: the class is named by its least doc_id."""
     text_batches(docs.sparkSession)
@@ -184,23 +220,13 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     component = components(links, "omh-components")
 
     # Buckets in which more than one component is left: compare across components only.
-    named = members.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    open_ = named.groupBy("bucket").agg(F.min("c").alias("c_lo"), F.max("c").alias("c_hi"), F.max(F.when(F.col("id") == F.col("leader"), F.col("c"))).alias("c_lead")).filter("c_lo <> c_hi")
-    named = materialised(named.join(open_.select("bucket", "c_lead"), "bucket"), "omh-open")
-    crowd = named.filter("c <> c_lead").groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > CROWDED).select("bucket")
-    calm = named.join(crowd, "bucket", "left_anti").select("bucket", "id", "n", "c", "c_lead", "leader")
-    second = (
-        named.join(crowd, "bucket")
-        .join(reps.select(F.col("doc_id").alias("id"), "sketch"), "id")
-        .select("bucket", "id", "n", "c", "c_lead", "leader", F.posexplode("sketch").alias("k", "s"))
-        .filter(F.xxhash64("k", "s") != F.col("bucket"))
-        .select(F.xxhash64("bucket", "k", "s").alias("bucket"), "id", "n", "c", "c_lead", "leader")
-    )
-    met = calm.unionByName(second)
-    a = met.select("bucket", F.col("id").alias("u"), F.col("n").alias("nu"), F.col("c").alias("cu"), F.col("leader").alias("lead"), (F.col("c") == F.col("c_lead")).alias("main"))
-    b = met.filter("c <> c_lead").select("bucket", F.col("id").alias("v"), F.col("n").alias("nv"), F.col("c").alias("cv"))
-    across = a.join(b, "bucket").filter("cu <> cv AND u <> lead AND (main OR u < v)").filter(_near("nu", "nv")).select("u", "v").distinct()
-    more = _links(across, texts, "omh-links")
+    named = members.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
+    lead = named.filter(F.col("id") == F.col("leader")).select("bucket", F.col("c").alias("c_lead"))
+    named = named.join(lead, "bucket")
+    apart = named.groupBy("bucket").agg(F.max(F.col("c") != F.col("c_lead")).alias("mixed")).filter("mixed").select("bucket")
+    open_ = named.join(apart, "bucket").groupBy("id").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.max(F.col("c") != F.col("c_lead")).alias("strays"))
+    open_ = materialised(open_, "omh-open")
+    more = _links(_across(open_, texts), texts, "omh-links")
     if not more.isEmpty():
         component = components(links.unionByName(more), "omh-components")
 
