@@ -14,9 +14,10 @@ packed as often as they occur; an empty table gives no rows. Extra columns are i
 
 from __future__ import annotations
 
+import base64
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,54 +30,37 @@ CAPACITY = 1024
 END_ID = 2
 PIECES_PER_PARTITION = 50_000
 ROUNDS = 4
-TOKENIZER = "byte_bpe_50k.json"
-CACHED_WORDS = 300_000
+RANKS = "byte_bpe_50k.tiktoken"
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
-_loaded: dict[tuple[str, str | None], object] = {}
+_loaded: dict[str | None, Callable[[str], bytes]] = {}
 
 
-class WordTokenizer:
-    """A byte-level BPE tokenizer that keeps the ids of pre-tokenised words it has met.
+def encoder(path: str | None = None) -> Callable[[str], bytes]:
+    """A function from a text to its ids, little-endian 32-bit numbers; loaded once in a process.
 
-    Byte-level BPE never merges across the words its pattern cuts, so a text's ids are those of its
-    words one after the other. Without a pattern, whole texts go to the tokenizer.
+    A ``.json`` file is read by ``tokenizers``. By default the ids are those of the public byte-level BPE
+    ``byte_bpe_50k.json``; the same vocabulary and pattern are read from its ``.tiktoken`` form, which encodes
+    rare words several times faster to the same ids. Special tokens' strings are ordinary text.
     """
-
-    def __init__(self, path: str, pattern: str | None):
-        import regex
+    if path in _loaded:
+        return _loaded[path]
+    if path is not None:
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.inner = Tokenizer.from_file(path)
-        self.inner.encode_special_tokens = True
-        self.words = regex.compile(pattern).findall if pattern else None
-        self.known: dict[str, bytes] = {}
-
-    def ids(self, text: str) -> bytes:
-        """The ids of a text as little-endian 32-bit numbers."""
-        if self.words is None:
-            return np.array(self.inner.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words, known = self.words(text), self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            if len(known) > CACHED_WORDS:
-                known.clear()
-            missing = list({w for w in words if w not in known})
-            for word, e in zip(missing, self.inner.encode_batch(missing, add_special_tokens=False)):
-                known[word] = np.array(e.ids, "<u4").tobytes()
-            return b"".join([known[w] for w in words])
-
-
-def tokenizer(path: str | None = None, pattern: str | None = None) -> WordTokenizer:
-    """The tokenizer at ``path``, loaded once in a process; by default the public byte-level BPE."""
-    if (path, pattern) not in _loaded:
+        inner = Tokenizer.from_file(path)
+        inner.encode_special_tokens = True
+        _loaded[path] = lambda text: np.array(inner.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    else:
         import public_tokenizers
+        import tiktoken
 
-        own = (path, pattern) if path else (public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
-        _loaded[path, pattern] = WordTokenizer(*own)
-    return _loaded[path, pattern]  # type: ignore[return-value]
+        with open(public_tokenizers.path(RANKS), "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        bpe = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _loaded[path] = lambda text: np.array(bpe.encode_ordinary(text), "<u4").tobytes()
+    return _loaded[path]
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -85,13 +69,13 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, capacity) for s in range(first, n, capacity)]
 
 
-def pieces(docs: DataFrame, path: str | None = None, pattern: str | None = None, keep_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, path: str | None = None, keep_ids: bool = False) -> DataFrame:
     """The token pieces of all documents; their ids come along only if asked for."""
     text_batches(docs.sparkSession)
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(path, pattern).ids
+        encode = encoder(path)
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
             for doc, text in zip(batch.column(0), batch.column(1)):
