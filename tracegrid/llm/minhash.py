@@ -9,7 +9,7 @@ Classes are the connected components of the links.
 
 The work stays near linear in the size of groups. Texts with equal word sequences are one
 representative. In a bucket all members are first compared with its leader only. After components are
-formed, members that stray from their leader's component are compared with the rest by an exact
+formed, members that stray from the bucket's main component are compared with the rest by an exact
 set-similarity join over their rarest shingles, which finds every pair that can still be similar without
 listing the pairs of a group.
 
@@ -174,7 +174,7 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs of ``docs(id, n, c, strays)`` that can still be similar, one of them straying from its leader.
+    """Pairs of ``docs(id, n, c, strays)`` that can still be similar, one of them straying from its bucket's main component.
 
     This is an exact set-similarity join. A text's labelled shingles are put in one order for all, rarest
     first. Similar texts of n and m shingles share at least t = 0.8 / 1.8 * (n + m); where their first shared
@@ -221,10 +221,9 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
 
     # Buckets in which more than one component is left: compare across components only.
     named = members.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
-    lead = named.filter(F.col("id") == F.col("leader")).select("bucket", F.col("c").alias("c_lead"))
-    named = named.join(lead, "bucket")
-    apart = named.groupBy("bucket").agg(F.max(F.col("c") != F.col("c_lead")).alias("mixed")).filter("mixed").select("bucket")
-    open_ = named.join(apart, "bucket").groupBy("id").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.max(F.col("c") != F.col("c_lead")).alias("strays"))
+    # a class bears its least doc_id, so the least component of a bucket is mostly its largest
+    mixed = named.groupBy("bucket").agg(F.min("c").alias("c_lead"), F.max("c").alias("c_last")).filter("c_lead <> c_last").select("bucket", "c_lead")
+    open_ = named.join(mixed, "bucket").groupBy("id").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.max(F.col("c") != F.col("c_lead")).alias("strays"))
     open_ = materialised(open_, "omh-open")
     more = _links(_across(open_, texts), texts, "omh-links")
     if not more.isEmpty():
