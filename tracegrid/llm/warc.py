@@ -80,7 +80,7 @@ def capture_records(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> Dat
     """One string column ``value``: three records for each page."""
     uri = [("WARC-Target-URI", F.col("url"))]
     response = _record_id("response")
-    host = F.coalesce(F.nullif(F.parse_url(F.col("url"), F.lit("HOST")), F.lit("")), F.lit("none"))
+    host = F.coalesce(F.nullif(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]+)", 1), F.lit("")), F.lit("none"))
     asked = F.concat(F.lit(f"GET / HTTP/1.1{CRLF}Host: "), host, F.lit(CRLF + CRLF))
     head = F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}{CRLF}")
     digest = [("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest")))]
