@@ -38,6 +38,7 @@ SIMILARITY = 0.8
 SKETCHES = 20
 PICKS = 4
 SIZE_CLASS = 1.02
+TURNS = 3
 
 _rng = np.random.default_rng(20240601)
 _ADD = _rng.integers(0, 1 << 63, SKETCHES, dtype=np.int64).astype(U64)
@@ -219,10 +220,21 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     links = _links(pairs, texts, "omh-links")
     component = components(links, "omh-components")
 
-    # Buckets in which more than one component is left: compare across components only.
-    named = members.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
-    # a class bears its least doc_id, so the least component of a bucket is mostly its largest
-    mixed = named.groupBy("bucket").agg(F.min("c").alias("c_lead"), F.max("c").alias("c_last")).filter("c_lead <> c_last").select("bucket", "c_lead")
+    # Strays: members outside their bucket's main component, named by its least doc_id. Other members of the
+    # main component lead the bucket in turn, which settles most strays with one comparison for each bucket.
+    for turn in range(TURNS + 1):
+        named = members.drop("leader", "leader_n").join(component.withColumnRenamed("node", "id"), "id", "left")
+        named = materialised(named.select("bucket", "id", "n", F.coalesce("component", "id").alias("c")), "omh-named")
+        mixed = named.groupBy("bucket").agg(F.min("c").alias("c_lead"), F.max("c").alias("c_last")).filter("c_lead <> c_last").select("bucket", "c_lead")
+        if turn == TURNS:
+            break
+        own = named.join(mixed, "bucket")
+        lead = own.filter("c = c_lead").groupBy("bucket").agg(F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("u"), F.min_by("n", F.xxhash64("id", F.lit(turn))).alias("nu"))
+        again = own.filter("c <> c_lead").join(lead, "bucket").filter(_near("n", "nu")).select("u", F.col("id").alias("v")).distinct()
+        more = _links(again, texts, "omh-links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            component = components(links, "omh-components")
     open_ = named.join(mixed, "bucket").groupBy("id").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.max(F.col("c") != F.col("c_lead")).alias("strays"))
     open_ = materialised(open_, "omh-open")
     more = _links(_across(open_, texts), texts, "omh-links")
