@@ -1,8 +1,8 @@
 """Toxicity: a counterfactual-regularised classifier.
 
 Features are the words of a text and their beginnings of ``PREFIXES`` bytes, as 64-bit hashes, each at the
-levels 1, 2 and 4 that its count in the text reaches. Those that occur in at least ``MIN_DOCS`` training texts and whose share differs clearly between labels are kept,
-together with all identity terms. A logistic model is fitted to them with a ridge and a counterfactual
+levels 1, 2 and 4 that its count in the text reaches. Those that occur in at least ``MIN_DOCS`` training texts
+and whose share differs clearly between labels are kept, together with all identity terms. A logistic model is fitted to them with a ridge and a counterfactual
 penalty: for every labelled text that names an identity group, copies are made in which each term is
 swapped for terms of the other groups of its kind, and the squared change of the score's logit is
 penalised. A group's name alone can then not move a score, which keeps neutral mentions of groups from
@@ -190,9 +190,11 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> Toxici
                 )
 
     got = sample.mapInArrow(found, "y int, label_id long, at array<int>").toPandas().sort_values(["label_id", "y"])
-    sizes = got["at"].map(len).to_numpy()
+    if not len(got):
+        return ToxicityModel()
+    sizes = got["at"].map(len).to_numpy(np.int64)
     row = np.repeat(np.arange(len(got)), sizes)
-    at = np.concatenate([np.asarray(v, np.int64) for v in got["at"]]) if len(got) else np.zeros(0, np.int64)
+    at = np.concatenate([np.asarray(v, np.int64) for v in got["at"]])
     base, weights = fit(row, at, got["y"].to_numpy(float), len(keys), [np.sort(np.searchsorted(keys, k)) for k in kinds])
     return ToxicityModel(base, keys, weights)
 
