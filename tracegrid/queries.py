@@ -470,11 +470,11 @@ def _register_sql() -> None:
         "q54_case_pivot": "SELECT section, round(sum(CASE WHEN period = '1996' THEN value END), 2) AS y1996, round(sum(CASE WHEN period = '1997' THEN value END), 2) AS y1997 FROM sales WHERE status = 'ALL' GROUP BY section",
         "q55_filter_clause": "SELECT section, round(sum(value) FILTER (WHERE period > '1997'), 2) AS late, count(*) FILTER (WHERE period <= '1997') AS early FROM sales WHERE status = 'ALL' GROUP BY section",
         "q56_join_ctes": "WITH a AS (SELECT entity, sum(value) AS v FROM sales WHERE status = 'F' GROUP BY entity), b AS (SELECT entity, sum(value) AS v FROM sales WHERE status = 'O' GROUP BY entity) SELECT a.entity, round(a.v / b.v, 6) AS ratio FROM a JOIN b ON a.entity = b.entity",
-        "q63_rank_window": "SELECT section, entity, rank() OVER (PARTITION BY section ORDER BY v DESC) AS k, round(v - lag(v) OVER (PARTITION BY section ORDER BY v DESC), 2) AS gap FROM (SELECT section, entity, sum(value) AS v FROM sales WHERE status = 'ALL' GROUP BY section, entity)",
+        "q63_rank_window": "SELECT section, entity, CAST(rank() OVER (PARTITION BY section ORDER BY v DESC) AS BIGINT) AS k, round(v - lag(v) OVER (PARTITION BY section ORDER BY v DESC), 2) AS gap FROM (SELECT section, entity, sum(value) AS v FROM sales WHERE status = 'ALL' GROUP BY section, entity)",
         "q63_set_operations": "SELECT period, section FROM sales WHERE status = 'F' EXCEPT SELECT period, section FROM sales WHERE status = 'P' AND period < '1997'",
         "q63_grouping_sets": "SELECT section, period, round(sum(value), 2) AS v FROM sales WHERE status = 'ALL' GROUP BY ROLLUP (section, period)",
-        "q63_string_functions": "SELECT DISTINCT upper(substr(entity, 1, 3)) AS a, replace(section, 'A', '-') AS b, length(section) AS n, section LIKE 'A%' AS starts FROM sales",
-        "q63_math_functions": "SELECT entity, period, round(sqrt(value), 4) AS s, round(ln(value), 6) AS l, greatest(floor(value), 5) AS f FROM sales WHERE status = 'ALL' AND section = 'ASIA'",
+        "q63_string_functions": "SELECT DISTINCT upper(substr(entity, 1, 3)) AS a, replace(section, 'A', '-') AS b, CAST(length(section) AS BIGINT) AS n, section LIKE 'A%' AS starts FROM sales",
+        "q63_math_functions": "SELECT entity, period, round(sqrt(value), 4) AS s, round(ln(value), 6) AS l, CAST(greatest(floor(value), 5) AS BIGINT) AS f FROM sales WHERE status = 'ALL' AND section = 'ASIA'",
     }
     for name, text in shapes.items():
 
