@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracegrid.operators.ingest import FOOTNOTE
-from tracegrid.operators.probe import TOTAL_WORDS, absent_concepts, column_profile, mark, row_profile
+from tracegrid.operators.probe import TOTAL_WORDS, absent_concepts, column_profile, mark, row_profile, sketch
 from tracegrid.plans.catalog import PERIOD_PATTERNS
 from tracegrid.plans.spec import SheetSpec, Spec, letters_of
 
@@ -149,7 +149,7 @@ def propose(cells: DataFrame, file: str, meaning: Callable[[str], dict] | None =
         raise ValueError(f"{file} mixes layouts: {', '.join(f'{r.sheet.sheet} is a {r.layout}' for r in readings)}")
     first = readings[0]
     try:
-        told = meaning(names[0]) if meaning else {}
+        told = meaning(sketch(cells, first.sheet.sheet)) if meaning else {}
     except Exception:  # a model that fails names nothing
         told = {}
     entity, measure = told.get("entity", "entity"), told.get("measure", "value")
