@@ -100,7 +100,10 @@ def _quoted(name: str) -> str:
 
 
 def column_statistics(table: DataFrame, exact: bool = True) -> DataFrame:
-    """column_name, nulls, distinct for every visible column, in one job over the table."""
+    """column_name, nulls, distinct for every visible column, in one job over the table.
+
+    Exact counts multiply the rows by the columns on their way to the shuffle; sketches do not.
+    """
     names = [c for c in table.columns if not c.startswith("__")]
     count = F.count_distinct if exact else F.approx_count_distinct
     aggs = []
@@ -129,18 +132,22 @@ def build_catalog(
     units: dict[str, str] | None = None,
     absent: tuple[str, ...] = (),
 ) -> Catalog:
-    """Two jobs: the statistics of all columns, then the labels of those with few of them."""
-    stats = {r["column_name"]: r for r in column_statistics(table).collect()}
+    """Two jobs: sketched statistics of all columns, then the labels of those that seem to have few.
+
+    Where labels are listed the count is exact; elsewhere it is the sketch's.
+    """
+    stats = {r["column_name"]: r for r in column_statistics(table, exact=False).collect()}
     types = dict(table.dtypes)
-    few = [c for c, r in stats.items() if types[c] == "string" and r["distinct"] <= LABEL_CAP]
+    few = [c for c, r in stats.items() if types[c] == "string" and r["distinct"] <= 1.3 * LABEL_CAP]
     labels: dict[str, list[str]] = {c: [] for c in few}
     if few:
         for r in label_listing(table, few).collect():
             labels[r["column_name"]].append(r["label"])
     columns = []
     for c, r in stats.items():
-        own = sorted(labels.get(c, []))
+        count = len(labels[c]) if c in labels else r["distinct"]
+        own = sorted(labels.get(c, [])) if count <= LABEL_CAP else []
         scope = (scopes or {}).get(c, layout == "crosstab" and looks_periodic(own))
-        columns.append(Column(c, types[c], r["nulls"], r["distinct"], own, scope, (aliases or {}).get(c, {}), (units or {}).get(c)))
+        columns.append(Column(c, types[c], r["nulls"], count, own, scope, (aliases or {}).get(c, {}), (units or {}).get(c)))
     unknown = tuple(sorted(k for k in {*(defaults or {}), *(scopes or {}), *(aliases or {}), *(units or {})} if k not in stats))
     return Catalog(name, columns, measure, (units or {}).get(measure), layout, defaults or {}, absent, unknown_annotations=unknown)
