@@ -8,8 +8,8 @@ band that the threshold leaves, L, gives the similarity L / (n + m - L), and 0.8
 Classes are the connected components of the links.
 
 The work stays near linear in the size of groups. Texts with equal word sequences are one
-representative. In a bucket all members are first compared with its leader only. After components are
-formed, members that stray from the bucket's main component are compared with the rest by an exact
+representative. In a bucket all members are first compared with one leader, then with others in turn. After that,
+members that stray from the main group of a bucket are compared with the rest by an exact
 set-similarity join over their rarest shingles, which finds every pair that can still be similar without
 listing the pairs of a group.
 
@@ -38,7 +38,7 @@ SIMILARITY = 0.8
 SKETCHES = 20
 PICKS = 4
 SIZE_CLASS = 1.02
-TURNS = 3
+TURNS = 2
 
 _rng = np.random.default_rng(20240601)
 _ADD = _rng.integers(0, 1 << 63, SKETCHES, dtype=np.int64).astype(U64)
@@ -200,6 +200,15 @@ def _across(docs: DataFrame, texts: DataFrame) -> DataFrame:
     return met.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
 
 
+def _hooked(label: DataFrame, links: DataFrame) -> DataFrame:
+    """``label(id, c)`` after each link has hooked the greater of its two groups to the lesser; hooks are followed twice."""
+    ends = links.join(label.select(F.col("id").alias("u"), F.col("c").alias("cu")), "u").join(label.select(F.col("id").alias("v"), F.col("c").alias("cv")), "v").filter("cu <> cv")
+    hook = materialised(ends.groupBy(F.greatest("cu", "cv").alias("c")).agg(F.min(F.least("cu", "cv")).alias("to")), "omh-hooks")
+    for _ in range(2):
+        label = label.join(hook, "c", "left").select("id", F.coalesce("to", "c").alias("c"))
+    return materialised(label, "omh-labels")
+
+
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     """``doc_id, class_id, n_copies`` for every row of ``docs``: the class is named by its least doc_id."""
     text_batches(docs.sparkSession)
@@ -218,28 +227,27 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     texts = _texts_of(docs, members.select("id").distinct())
     pairs = members.filter(F.col("id") != F.col("leader")).filter(_near("n", "leader_n")).select(F.col("leader").alias("u"), F.col("id").alias("v")).distinct()
     links = _links(pairs, texts, "omh-links")
-    component = components(links, "omh-components")
 
-    # Strays: members outside their bucket's main component, named by its least doc_id. Other members of the
-    # main component lead the bucket in turn, which settles most strays with one comparison for each bucket.
+    # Strays: members outside their bucket's main group, named by its least doc_id. Other members of the
+    # main group lead the bucket in turn, which settles most strays with one comparison for each bucket.
+    # Groups are hooked to each other step by step here; full components follow once, at the end.
+    label = members.select("id", F.col("id").alias("c")).distinct()
+    new = links
     for turn in range(TURNS + 1):
-        named = members.drop("leader", "leader_n").join(component.withColumnRenamed("node", "id"), "id", "left")
-        named = materialised(named.select("bucket", "id", "n", F.coalesce("component", "id").alias("c")), "omh-named")
+        label = _hooked(label, new)
+        named = materialised(members.drop("leader", "leader_n").join(label, "id"), "omh-named")
         mixed = named.groupBy("bucket").agg(F.min("c").alias("c_lead"), F.max("c").alias("c_last")).filter("c_lead <> c_last").select("bucket", "c_lead")
         if turn == TURNS:
             break
         own = named.join(mixed, "bucket")
         lead = own.filter("c = c_lead").groupBy("bucket").agg(F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("u"), F.min_by("n", F.xxhash64("id", F.lit(turn))).alias("nu"))
         again = own.filter("c <> c_lead").join(lead, "bucket").filter(_near("n", "nu")).select("u", F.col("id").alias("v")).distinct()
-        more = _links(again, texts, "omh-links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            component = components(links, "omh-components")
+        new = _links(again, texts, "omh-links")
+        links = links.unionByName(new)
     open_ = named.join(mixed, "bucket").groupBy("id").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.max(F.col("c") != F.col("c_lead")).alias("strays"))
     open_ = materialised(open_, "omh-open")
-    more = _links(_across(open_, texts), texts, "omh-links")
-    if not more.isEmpty():
-        component = components(links.unionByName(more), "omh-components")
+    links = links.unionByName(_links(_across(open_, texts), texts, "omh-links"))
+    component = components(links, "omh-components")
 
     of_rep = exact.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n_words", F.coalesce("component", "rep").alias("class_id"), "n_copies")
     named_rows = features.select("doc_id", "h1", "h2", "n_words").join(of_rep, ["h1", "h2", "n_words"], "left")
