@@ -177,6 +177,31 @@ def test_decontamination_odd_rows(spark, odd, none):
     assert decontaminate.leaks(none, bench).count() == 0 and decontaminate.leaks(odd, bench.filter("false")).count() == 0
 
 
+def test_decontamination_of_rotated_and_edited_items(spark, monkeypatch):
+    """Question before context, swapped halves and word edits: windows that no shared shingle's place in the item points to."""
+    rng = np.random.default_rng(5)
+    word = lambda tag, n: [f"{tag}{i}" for i in range(n)]
+    items, docs = [], []
+    for i in range(30):
+        item = word(f"i{i}x", int(rng.integers(50, 110)))
+        items.append((i, " ".join(item)))
+        turn = [20, len(item) // 2, 60][i % 3] % len(item)
+        edited = list(item)
+        for k in range(int(rng.integers(1, 5))):
+            at = int(rng.integers(len(edited)))
+            edited[at : at + int(rng.integers(2))] = [f"e{k}"] * int(rng.integers(2))
+        for d, held in enumerate((item[-turn:] + item[:-turn], edited)):
+            docs.append((2 * i + d, " ".join(word("before", 37) + held + word("after", 23))))
+    docs += [(100, docs[0][1] + " " + docs[6][1] + " " + docs[0][1]), (101, " ".join(t for _, t in docs))]
+    monkeypatch.setattr(decontaminate, "SEGMENT", 1)  # the last document is then cut into many pieces
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in got.collect()}
+    want = brute_leaks(docs, [(i, shingle_list(t)) for i, t in items])
+    # two fingerprints find a window of just 0.8 with a probability of about 0.997
+    assert {k for k, v in want.items() if v >= 0.82} <= got.keys() <= want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    assert sum(d % 2 == 0 for d, _ in want) > 20
+
+
 def test_decontamination_in_blocks(spark, odd, monkeypatch):
     bench = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i, i + 30))) for i in range(0, 100, 10)], "item_id long, text string")
     whole = sorted((str(r["doc_id"]), r["item_id"]) for r in decontaminate.leaks(odd, bench).collect())

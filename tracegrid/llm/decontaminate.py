@@ -1,12 +1,14 @@
 """Benchmark decontamination: SimHash windows, multi-index Hamming search, exact verification.
 
 Texts are lower-cased and cut into words (runs of ASCII letters and digits and of non-ASCII characters);
-five consecutive words are a shingle. A document's windows have the word count of a benchmark item. A
-window that shares no shingle with any item has similarity 0 to all, so windows are laid only where a
-document and some item share one, so that the shared shingle falls where the item has it. Each window
-gets two 64-bit SimHashes over its shingles, weighted by how often they occur. Fingerprints are cut into
-``BLOCKS`` blocks: two that differ in at most ``RADIUS`` bits differ in at most RADIUS // BLOCKS bits of
-some block, and every such block value is looked up, so no fingerprint within the radius is missed.
+five consecutive words are a shingle. A document's windows have the word count of a benchmark item and are
+compared with items of that count. The shared shingles only find the regions: a window of n shingles and an
+item of m can reach similarity 0.8 only if at least 0.8 / 1.8 * (n + m) of the window's places hold a shingle
+of some item of m shingles. All windows that do are laid, wherever the item has those shingles; the others
+cannot be leaks. Each window gets two 64-bit SimHashes over its shingles, weighted by how often they occur.
+Fingerprints are cut into ``BLOCKS`` blocks: two that differ in at most ``RADIUS`` bits differ in at most
+RADIUS // BLOCKS bits of some block, and every such block value is looked up, so no fingerprint within the
+radius is missed.
 The candidates' exact similarity is the weighted Jaccard of both multisets of shingles, the sum of the
 lesser counts over the sum of the greater ones; 0.8 or more is a leak.
 
@@ -34,6 +36,7 @@ RADIUS = 14
 BLOCK_BITS = (13, 13, 13, 13, 12)
 BLOCKS = len(BLOCK_BITS)
 BROADCAST_SHINGLES = 1_000_000
+SEGMENT = 1024
 WORD_GAP = "[^a-z0-9\\x{80}-\\x{10FFFF}]+"
 
 
@@ -90,46 +93,73 @@ def weighted_similarity() -> Column:
     return common / (F.size("sh") + F.size("item_sh") - common)
 
 
+def segments(docs: DataFrame, longest: int) -> DataFrame:
+    """Documents in pieces: doc_id, text_hash, size (of the document), base, sh.
+
+    A window of at most ``longest`` shingles that starts in a stretch of the document lies in that stretch's piece.
+    Pieces bound what each shared shingle carries, however long the document is.
+    """
+    step = max(SEGMENT, 4 * longest)
+    text = shingled(docs, [F.col("doc_id"), F.xxhash64("text").alias("text_hash")], F.col("text"))
+    piece = F.transform(F.sequence(F.lit(0), F.size("sh") - 1, F.lit(step)), lambda x: F.struct(x.alias("base"), F.slice("sh", x + 1, step + longest - 1).alias("sh")))
+    cut = text.select("doc_id", "text_hash", F.size("sh").alias("size"), F.explode_outer(piece).alias("p"))
+    return cut.select("doc_id", "text_hash", "size", F.col("p.base").alias("base"), F.col("p.sh").alias("sh"))
+
+
+def window_starts() -> Column:
+    """Starts of all windows of ``n`` shingles in ``sh`` that hold at least ``need`` of the places ``at``.
+
+    The windows that hold the places i to i + need - 1 start in one range; the ranges of all i are all such windows.
+    """
+    last = "get(at, i + need - 1)"
+    low, high = f"greatest(0, {last} - n + 1)", "least(get(at, i), size(sh) - n)"
+    ranges = f"transform(sequence(0, size(at) - need), i -> if({low} <= {high}, sequence({low}, {high}, 1), cast(array() as array<int>)))"
+    return F.expr(f"if(size(at) < need, cast(array() as array<int>), array_distinct(flatten({ranges})))")
+
+
 def windows(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Item-sized windows that share a shingle with an item: doc_id, text_hash, start, sh."""
-    anchors = items.select(F.size("item_sh").alias("n"), F.posexplode("item_sh").alias("at", "h")).distinct()
+    """All item-sized windows that can reach the similarity: doc_id, text_hash, m, start, sh."""
+    anchors = items.select("m", F.explode("item_sh").alias("h")).distinct()
+    size = items.agg(F.max("m")).first()[0] or 1
     blocks = max(1, -(-anchors.count() // BROADCAST_SHINGLES))
-    text = shingled(docs, [F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("text_hash")], F.col("text"))
-    each = text.select("doc_id", "text_hash", "sh", F.posexplode_outer("sh").alias("pos", "h"))
+    each = segments(docs, size).select("doc_id", "text_hash", "size", "base", "sh", F.posexplode_outer("sh").alias("pos", "h"))
     found = []
     for b in range(blocks):
         own = anchors.filter(F.pmod(F.xxhash64("h"), F.lit(blocks)) == b)
-        hit = each.join(F.broadcast(own), "h")
-        n = F.least("n", F.size("sh"))
-        start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.size("sh") - n))
-        found.append(hit.select("doc_id", "text_hash", start.alias("start"), F.slice("sh", start + 1, n).alias("sh")))
-    return reduce(DataFrame.unionByName, found).groupBy("doc_id", "text_hash", "sh").agg(F.min("start").alias("start"))
+        found.append(each.join(F.broadcast(own), "h").select("doc_id", "text_hash", "size", "base", "m", "pos", "sh"))
+    places = reduce(DataFrame.unionByName, found).groupBy("doc_id", "text_hash", "base", "m")
+    places = places.agg(F.array_sort(F.collect_set("pos")).alias("at"), F.first("size").alias("size"), F.first("sh").alias("sh"))
+    # lesser / (n + m - lesser) >= s only where lesser, and so the count of places, is at least s / (1 + s) * (n + m)
+    need = F.ceil(SIMILARITY / (1 + SIMILARITY) * (F.col("n") + F.col("m")) - 1e-6).cast("int")
+    places = places.withColumn("n", F.least("m", "size")).withColumn("need", need)
+    laid = places.select("doc_id", "text_hash", "m", "n", "base", "sh", F.explode(window_starts()).alias("start"))
+    return laid.select("doc_id", "text_hash", "m", (F.col("base") + F.col("start")).alias("start"), F.slice("sh", F.col("start") + 1, F.col("n")).alias("sh"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and item it holds: the best window, its distance and its similarity."""
     items = shingled(benchmark, [F.col("item_id").alias("item_id")], F.col("text")).withColumnRenamed("sh", "item_sh")
-    items = materialised(items, "leak-items")
+    items = materialised(items.withColumn("m", F.size("item_sh")), "leak-items")
     found = materialised(
         windows(docs, items).withColumn("w1", F.hash("sh").cast("long")).withColumn("w2", F.xxhash64("sh")), "leak-windows"
     )
-    prints = materialised(with_fingerprints(found.select("w1", "w2", "sh").dropDuplicates(["w1", "w2"])), "leak-prints")
+    prints = materialised(with_fingerprints(found.select("w1", "w2", "m", "sh").dropDuplicates(["w1", "w2", "m"])), "leak-prints")
     item_prints = materialised(with_fingerprints(items.withColumnRenamed("item_sh", "sh")).withColumnsRenamed({"sh": "item_sh", "fp": "item_fp"}), "leak-item-prints")
     per_block = RADIUS // BLOCKS
-    left = prints.select("w1", "w2", "fp", F.explode(block_keys(per_block - per_block // 2)).alias("k")).select("w1", "w2", "fp", "k.*")
-    right = item_prints.withColumnRenamed("item_fp", "fp").select("item_id", "fp", F.explode(block_keys(per_block // 2)).alias("k"))
-    right = right.select("item_id", F.col("fp").alias("item_fp"), "k.*")
+    left = prints.select("w1", "w2", "m", "fp", F.explode(block_keys(per_block - per_block // 2)).alias("k")).select("w1", "w2", "m", "fp", "k.*")
+    right = item_prints.withColumnRenamed("item_fp", "fp").select("item_id", "m", "fp", F.explode(block_keys(per_block // 2)).alias("k"))
+    right = right.select("item_id", "m", F.col("fp").alias("item_fp"), "k.*")
     apart = F.least(*[F.bit_count(F.col("fp")[t].bitwiseXOR(F.col("item_fp")[t])) for t in range(2)])
-    near = left.join(right, ["block", "value"]).select("w1", "w2", "item_id", apart.alias("hamming")).filter(F.col("hamming") <= RADIUS).distinct()
+    near = left.join(right, ["m", "block", "value"]).select("w1", "w2", "m", "item_id", apart.alias("hamming")).filter(F.col("hamming") <= RADIUS).distinct()
     verified = (
-        near.join(prints.select("w1", "w2", "sh"), ["w1", "w2"])
-        .join(items, near["item_id"].eqNullSafe(items["item_id"]))
-        .select("w1", "w2", near["item_id"], "hamming", weighted_similarity().alias("similarity"), F.size("sh").alias("n"))
+        near.join(prints.select("w1", "w2", "m", "sh"), ["w1", "w2", "m"])
+        .join(items, near["item_id"].eqNullSafe(items["item_id"]) & (near["m"] == items["m"]))
+        .select("w1", "w2", near["m"], near["item_id"], "hamming", weighted_similarity().alias("similarity"), F.size("sh").alias("n"))
         .filter(F.col("similarity") >= SIMILARITY - 1e-9)
     )
     best = F.max_by(F.struct("start", "n", "hamming", "similarity"), F.struct("similarity", -F.col("hamming"), -F.col("start"), "n"))
     return (
-        verified.join(found.select("w1", "w2", "doc_id", "text_hash", "start"), ["w1", "w2"])
+        verified.join(found.select("w1", "w2", "m", "doc_id", "text_hash", "start"), ["w1", "w2", "m"])
         .groupBy("doc_id", "text_hash", "item_id")
         .agg(best.alias("b"))
         .select("doc_id", "item_id", F.col("b.start").cast("long").alias("first_word"), (F.col("b.n") + SHINGLE_WORDS - 1).cast("long").alias("n_words"), F.col("b.hamming").cast("long").alias("hamming"), F.col("b.similarity").alias("similarity"), "text_hash")
