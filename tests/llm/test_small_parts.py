@@ -106,6 +106,16 @@ def test_ids_are_those_of_tokenizers():
         assert packing.encoder(public.path("byte_bpe_50k.json"))(text) == want
 
 
+def test_ids_of_very_long_whitespace():
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    inner = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    for run in (" " * 1_000_001, "\n" * 1_000_001, " \n\xa0" * 400_000):
+        for text in (run, f"a b{run}c  d"):
+            assert packing.encoder()(text) == np.array(inner.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_smallest_capacity():
     rng = np.random.default_rng(3)
     for _ in range(50):

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -31,35 +32,48 @@ END_ID = 2
 PIECES_PER_PARTITION = 50_000
 ROUNDS = 4
 RANKS = "byte_bpe_50k.tiktoken"
+VOCABULARY = "byte_bpe_50k.json"
+LONG_SPACE = 100_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 _loaded: dict[str | None, Callable[[str], bytes]] = {}
 
 
+def _by_tokenizers(path: str) -> Callable[[str], bytes]:
+    from tokenizers import Tokenizer
+
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    inner = Tokenizer.from_file(path)
+    inner.encode_special_tokens = True
+    return lambda text: np.array(inner.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def _by_ranks() -> Callable[[str], bytes]:
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path(RANKS), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    bpe = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(text: str) -> bytes:
+        if len(text) > LONG_SPACE and any(m.end() - m.start() > LONG_SPACE for m in re.finditer(r"\s+", text)):
+            return encoder(public_tokenizers.path(VOCABULARY))(text)
+        return np.array(bpe.encode_ordinary(text), "<u4").tobytes()
+
+    return encode
+
+
 def encoder(path: str | None = None) -> Callable[[str], bytes]:
     """A function from a text to its ids, little-endian 32-bit numbers; loaded once in a process.
 
     A ``.json`` file is read by ``tokenizers``. By default the ids are those of the public byte-level BPE
     ``byte_bpe_50k.json``; the same vocabulary and pattern are read from its ``.tiktoken`` form, which encodes
-    rare words several times faster to the same ids. Special tokens' strings are ordinary text.
+    rare words several times faster to the same ids. That form fails on runs of a million whitespace characters,
+    so texts with runs of more than ``LONG_SPACE`` go to ``tokenizers``. Special tokens' strings are ordinary text.
     """
-    if path in _loaded:
-        return _loaded[path]
-    if path is not None:
-        from tokenizers import Tokenizer
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        inner = Tokenizer.from_file(path)
-        inner.encode_special_tokens = True
-        _loaded[path] = lambda text: np.array(inner.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    else:
-        import public_tokenizers
-        import tiktoken
-
-        with open(public_tokenizers.path(RANKS), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        bpe = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        _loaded[path] = lambda text: np.array(bpe.encode_ordinary(text), "<u4").tobytes()
+    if path not in _loaded:
+        _loaded[path] = _by_ranks() if path is None else _by_tokenizers(path)
     return _loaded[path]
 
 
