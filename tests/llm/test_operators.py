@@ -309,6 +309,22 @@ def test_packing(spark, odd, none):
     assert packing.pack(packing.pieces(none)).count() == 0
 
 
+def test_packing_of_texts_with_added_tokens(spark):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    inner = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}x", f"x  {end}", f"{end}{end}", f"a\n\n{end}  {end}\n b", "<|endoftext|", f"<{end}>", f"<|ENDOFTEXT|> {end * 700}", f"{end}{' ' * 150_000}{end}z"]
+    want = [np.array([*inner.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes() for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for path in (None, public.path("byte_bpe_50k.json")):
+        got = defaultdict(bytes)
+        for r in sorted(packing.pieces(docs, path, keep_ids=True).collect(), key=lambda r: r["piece"]):
+            got[r["doc_id"]] += bytes(r["ids"])
+        assert [got[d] for d in range(len(texts))] == want
+
+
 def test_packing_partitions_exchange(spark, monkeypatch):
     monkeypatch.setattr(packing, "PIECES_PER_PARTITION", 60)
     rng = np.random.default_rng(1)

@@ -34,47 +34,51 @@ ROUNDS = 4
 RANKS = "byte_bpe_50k.tiktoken"
 VOCABULARY = "byte_bpe_50k.json"
 LONG_SPACE = 100_000
+ADDED = {"<|endoftext|>": 50256}
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
-_loaded: dict[str | None, Callable[[str], bytes]] = {}
+_loaded: dict[tuple[str | None, bool], Callable[[str], bytes]] = {}
 
 
-def _by_tokenizers(path: str) -> Callable[[str], bytes]:
+def _by_tokenizers(path: str, added: bool) -> Callable[[str], bytes]:
     from tokenizers import Tokenizer
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     inner = Tokenizer.from_file(path)
-    inner.encode_special_tokens = True
+    inner.encode_special_tokens = not added
     return lambda text: np.array(inner.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-def _by_ranks() -> Callable[[str], bytes]:
+def _by_ranks(added: bool) -> Callable[[str], bytes]:
     import public_tokenizers
     import tiktoken
 
     with open(public_tokenizers.path(RANKS), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    bpe = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    bpe = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED if added else {})
 
     def encode(text: str) -> bytes:
         if len(text) > LONG_SPACE and any(m.end() - m.start() > LONG_SPACE for m in re.finditer(r"\s+", text)):
-            return encoder(public_tokenizers.path(VOCABULARY))(text)
+            return encoder(public_tokenizers.path(VOCABULARY), added)(text)
+        if added and any(token in text for token in ADDED):
+            return np.array(bpe.encode(text, allowed_special="all"), "<u4").tobytes()
         return np.array(bpe.encode_ordinary(text), "<u4").tobytes()
 
     return encode
 
 
-def encoder(path: str | None = None) -> Callable[[str], bytes]:
+def encoder(path: str | None = None, added: bool = False) -> Callable[[str], bytes]:
     """A function from a text to its ids, little-endian 32-bit numbers; loaded once in a process.
 
     A ``.json`` file is read by ``tokenizers``. By default the ids are those of the public byte-level BPE
     ``byte_bpe_50k.json``; the same vocabulary and pattern are read from its ``.tiktoken`` form, which encodes
     rare words several times faster to the same ids. That form fails on runs of a million whitespace characters,
-    so texts with runs of more than ``LONG_SPACE`` go to ``tokenizers``. Special tokens' strings are ordinary text.
+    so texts with runs of more than ``LONG_SPACE`` go to ``tokenizers``. With ``added``, as ``pieces`` calls it, the
+    strings of a vocabulary's added tokens (``ADDED``) get those tokens' ids; without, they are ordinary text.
     """
-    if path not in _loaded:
-        _loaded[path] = _by_ranks() if path is None else _by_tokenizers(path)
-    return _loaded[path]
+    if (path, added) not in _loaded:
+        _loaded[path, added] = _by_ranks(added) if path is None else _by_tokenizers(path, added)
+    return _loaded[path, added]
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -89,7 +93,7 @@ def pieces(docs: DataFrame, path: str | None = None, keep_ids: bool = False) ->
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(path, added=True)
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
             for doc, text in zip(batch.column(0), batch.column(1)):
