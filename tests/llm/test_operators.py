@@ -277,6 +277,27 @@ def test_classifiers_on_odd_rows(spark, odd, none, classify):
     assert classify(odd, labels.filter("false")).first()["score"] == 0.5 and classify(none, labels).count() == 0
 
 
+@pytest.mark.parametrize("times", [1, 2, 4])
+def test_group_names_move_no_score(spark, times):
+    """A name with its own beginnings and counts goes with the label; swapping it must leave the score as it is."""
+    rng = np.random.default_rng(11)
+    rows, labels = [], []
+    for d in range(1500):
+        y = d % 2
+        own = [f"filler{i}" for i in rng.integers(0, 300, 12)] + ["muslim" if rng.random() < 0.1 + 0.6 * y else "christian"] * times
+        own += ["vileinsult"] if y and rng.random() < 0.8 else []
+        rows.append((d, " ".join(rng.permutation(own))))
+        labels.append((d, y))
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    texts = [f"{'muslim ' * n}people met" for n in (1, times)] + [f"{'Christian ' * n}people met" for n in (1, times)] + ["a vileinsult"]
+    import pyarrow as pa
+
+    z = np.log(1 / (1 / model.score(pa.array(texts)) - 1))
+    assert abs(z[0] - z[2]) < 0.4 and abs(z[1] - z[3]) < 0.4 and z[4] > 1
+    rows, copies = toxicity.swapped_copies(pa.array(["A Muslim, a MUSLIM and Jews.", None, "none"]))
+    assert rows.tolist() == [0] * toxicity.SWAPS and all("muslim" not in c and "jews" not in c and c.startswith("a ") and c.endswith(".") for c in copies.to_pylist())
+
+
 def test_labels_of_held_out_rows_are_not_learned(spark, odd):
     ids = [i for i in range(1, 15) if zlib.crc32(str(i).encode()) % 5 == 0]
     labels = spark.createDataFrame([(i, i % 2, i % 2) for i in ids], "doc_id long, quality int, toxic int")

@@ -3,9 +3,9 @@
 Features are the words of a text and their beginnings of ``PREFIXES`` bytes, as 64-bit hashes, each at the
 levels 1, 2 and 4 that its count in the text reaches. Those that occur in at least ``MIN_DOCS`` training texts
 and whose share differs clearly between labels are kept, together with all identity terms. A logistic model is fitted to them with a ridge and a counterfactual
-penalty: for every labelled text that names an identity group, copies are made in which each term is
-swapped for terms of the other groups of its kind, and the squared change of the score's logit is
-penalised. A group's name alone can then not move a score, which keeps neutral mentions of groups from
+penalty: for every labelled text that names an identity group, ``SWAPS`` copies are made in which all terms at
+once are swapped for terms of the other groups of their kinds. Text and copies go through the same features, and
+the squared change of the score's logit over all of them (words, beginnings, counts) is penalised. A group's name alone can then not move a score, which keeps neutral mentions of groups from
 being flagged.
 
 Training uses labelled rows of the training folds only, crc32(doc_id as text) mod 5 not 0, and at most about
@@ -18,6 +18,7 @@ without any; a null doc_id is not held out and never trained on. Extra columns a
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -56,6 +57,10 @@ IDENTITY_TERMS = {
 }
 
 
+# Each term as bytes: its place in its kind, and the kind.
+_KIND_OF = {t.encode(): (i, [x.encode() for x in terms]) for terms in IDENTITY_TERMS.values() if len(terms) > 1 for i, t in enumerate(terms)}
+
+
 def _hashes(terms: list[str]) -> np.ndarray:
     return words(pa.array(terms))[0]
 
@@ -116,11 +121,38 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-z))
 
 
-def fit(row: np.ndarray, at: np.ndarray, y: np.ndarray, n_features: int, kinds: list[np.ndarray]) -> tuple[float, np.ndarray]:
-    """Weights over binary features (``row`` has feature ``at``); ``kinds`` are the feature numbers of swappable terms."""
+def swapped_copies(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Lower-cased copies of the texts that hold terms, and the row of each: every term is moved on in its kind by one step."""
+    data, ptr = lowered(column)
+    starts, ends, wptr = word_spans(data, ptr)
+    held = np.flatnonzero(np.isin(span_hashes(data, starts, ends), _hashes([t.decode() for t in _KIND_OF])))
+    row = np.searchsorted(wptr, held, "right") - 1
+    rows, copies = [], []
+    for r in np.unique(row).tolist():
+        own = held[np.searchsorted(row, r) : np.searchsorted(row, r, "right")]
+        text = data[ptr[r] : ptr[r + 1]].tobytes()
+        spans = list(zip((starts[own] - ptr[r]).tolist(), (ends[own] - ptr[r]).tolist()))
+        seed = zlib.crc32(text)
+        for copy in range(SWAPS):
+            parts, last = [], 0
+            for a, b in spans:
+                i, kind = _KIND_OF[text[a:b]]
+                parts += [text[last:a], kind[(i + 1 + (seed + copy) % (len(kind) - 1)) % len(kind)]]
+                last = b
+            rows.append(r)
+            copies.append(b"".join([*parts, text[last:]]).decode())
+    return np.array(rows, np.int64), pa.array(copies, pa.large_string())
+
+
+def fit(row: np.ndarray, at: np.ndarray, y: np.ndarray, n_features: int, kinds: list[np.ndarray], changes: list[np.ndarray] | None = None) -> tuple[float, np.ndarray]:
+    """Weights over binary features (``row`` has feature ``at``).
+
+    ``changes`` has, for each swapped copy of a row, the features that it gains (their number + 1) and loses (the same,
+    negative). ``kinds`` are the feature numbers of swappable terms, for rows without copies.
+    """
     share = (y.sum() + 0.5) / (len(y) + 1)
     base, w = float(np.log(share / (1 - share))), np.zeros(n_features)
-    # One counterfactual per mention and swap: the logit changes by w[other] - w[own].
+    # Without copies, one counterfactual per mention and swap: the logit changes by w[other] - w[own].
     own, other = [], []
     rng = np.random.default_rng(7)
     for kind in kinds:
@@ -130,6 +162,10 @@ def fit(row: np.ndarray, at: np.ndarray, y: np.ndarray, n_features: int, kinds:
             other.append(kind[(np.searchsorted(kind, found) + rng.integers(1, len(kind), len(found))) % len(kind)])
     a = np.concatenate(own) if own else np.zeros(0, np.int64)
     b = np.concatenate(other) if other else np.zeros(0, np.int64)
+    changes = changes or []
+    copy = np.repeat(np.arange(len(changes)), [len(c) for c in changes])
+    moved = np.concatenate([np.zeros(0, np.int64), *changes]).astype(np.int64)
+    sign, moved = np.sign(moved).astype(float), np.abs(moved) - 1
     weight = np.where(y == 1, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9)) / len(y)
     moment, spread, m0, s0 = np.zeros(n_features), np.zeros(n_features), 0.0, 0.0
     for t in range(1, STEPS + 1):
@@ -139,6 +175,9 @@ def fit(row: np.ndarray, at: np.ndarray, y: np.ndarray, n_features: int, kinds:
         if len(a):
             gap = (w[b] - w[a]) * (2 * PENALTY / len(a))
             grad += np.bincount(b, gap, n_features) - np.bincount(a, gap, n_features)
+        if len(changes):
+            change = np.bincount(copy, sign * w[moved], len(changes)) * (2 * PENALTY / len(changes))
+            grad += np.bincount(moved, sign * change[copy], n_features)
         g0 = float(err.sum())
         moment, spread = 0.9 * moment + 0.1 * grad, 0.99 * spread + 0.01 * grad * grad
         m0, s0 = 0.9 * m0 + 0.1 * g0, 0.99 * s0 + 0.01 * g0 * g0
@@ -185,17 +224,23 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> Toxici
             for start, texts in chunks(batch.column(2)):
                 row, at = model.hits(texts)
                 ptr = np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32)
+                changes: list[list[np.ndarray]] = [[] for _ in range(len(texts))]
+                of, copies = swapped_copies(texts)
+                copy, gets = model.hits(copies)
+                for k, r in enumerate(of.tolist()):
+                    had, has = at[ptr[r] : ptr[r + 1]], gets[np.searchsorted(copy, k) : np.searchsorted(copy, k, "right")]
+                    changes[r].append(np.concatenate([np.setdiff1d(has, had) + 1, -1 - np.setdiff1d(had, has)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, len(texts)), batch.column(1).slice(start, len(texts)), pa.ListArray.from_arrays(pa.array(ptr), pa.array(at.astype(np.int32)))], ["y", "label_id", "at"]
+                    [batch.column(0).slice(start, len(texts)), batch.column(1).slice(start, len(texts)), pa.ListArray.from_arrays(pa.array(ptr), pa.array(at.astype(np.int32))), pa.array(changes, pa.list_(pa.list_(pa.int32())))], ["y", "label_id", "at", "changes"]
                 )
 
-    got = sample.mapInArrow(found, "y int, label_id long, at array<int>").toPandas().sort_values(["label_id", "y"])
+    got = sample.mapInArrow(found, "y int, label_id long, at array<int>, changes array<array<int>>").toPandas().sort_values(["label_id", "y"])
     if not len(got):
         return ToxicityModel()
     sizes = got["at"].map(len).to_numpy(np.int64)
     row = np.repeat(np.arange(len(got)), sizes)
     at = np.concatenate([np.asarray(v, np.int64) for v in got["at"]])
-    base, weights = fit(row, at, got["y"].to_numpy(float), len(keys), [np.sort(np.searchsorted(keys, k)) for k in kinds])
+    base, weights = fit(row, at, got["y"].to_numpy(float), len(keys), [], [np.asarray(c, np.int64) for v in got["changes"] for c in v])
     return ToxicityModel(base, keys, weights)
 
 
