@@ -10,9 +10,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tracegrid.operators.lineage import column_letter
+from tracegrid.operators.order import carried, numbered
 from tracegrid.plans.spec import Spec, SheetSpec, column_number, letters_of
 
 FOOTNOTE = r"\[\d+\]|\*"
@@ -35,14 +35,10 @@ def row_kind(label: Column, kinds: dict[str, str]) -> Column:
 def dense_row_ids(rows: DataFrame, sheet: list[str], order: list[str]) -> DataFrame:
     """Adds ``__row_id``: dense from 0 in the order of sheets and, within them, of ``order``.
 
-    Rows are numbered sheet by sheet and shifted by the rows of the sheets before; only the few sheet
-    counts are ordered in one place.
+    Rows are numbered block by block and shifted by the rows of the blocks before; only the blocks' counts
+    are ordered in one place.
     """
-    counts = rows.groupBy(*sheet).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy(*sheet).rowsBetween(Window.unboundedPreceding, -1)
-    shift = counts.select(*sheet, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    numbered = rows.withColumn("__k", F.row_number().over(Window.partitionBy(*sheet).orderBy(*order)))
-    return numbered.join(shift, sheet).withColumn("__row_id", (F.col("__before") + F.col("__k") - 1).cast("long")).drop("__k", "__before")
+    return numbered(rows, sheet, order, "__row_id", whole=sheet)
 
 
 @dataclass
@@ -64,9 +60,8 @@ class Tidy:
 
 def filled_sections(labels: DataFrame, by: list[str]) -> DataFrame:
     """Each row with the last section header above it: its text and address travel together."""
-    above = Window.partitionBy(*by).orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
     head = F.when(F.col("row_kind") == "section_header", F.struct(F.col("section_text").alias("section"), F.col("a1").alias("section_a1")))
-    return labels.withColumn("__head", F.last(head, ignorenulls=True).over(above)).select("*", "__head.section", "__head.section_a1").drop("__head")
+    return carried(labels, by, "r", head, "__head").select("*", "__head.section", "__head.section_a1").drop("__head")
 
 
 def header_labels(cells: DataFrame, rows: list[int], lo: int, hi: int) -> DataFrame:
@@ -113,13 +108,13 @@ def ingest_crosstab(cells: DataFrame, spec: Spec) -> Tidy:
     joined = reduce(DataFrame.unionByName, [_crosstab_sheet(cells, spec, s) for s in spec.sheets])
     rows = dense_row_ids(joined, ["sheet_idx", "sheet"], ["r", "c"])
     is_entity, is_grand = F.col("row_kind") == "entity", F.col("row_kind") == "grand_total"
-    cell = lambda name, a1, raw, formula=None, when=None: _receipt(name, a1, raw, formula, when)
+    cell = _receipt
     found = [
         cell(spec.measure, F.col("value_a1"), F.col("value_raw"), F.col("formula")),
         cell(period, F.col("header_a1"), F.col("period_label")),
         cell("row_kind", F.col("a1"), F.col("raw_label")),
         cell(spec.entity, F.col("a1"), F.col("raw_label"), when=is_entity),
-        *[cell(k, F.lit("A1"), F.col(f"const_{k}")) for k in constants],
+        *[cell(k, F.lit("A1"), F.col(f"const_{k}"), when=F.col(f"const_{k}").isNotNull(), synthetic=True) for k in constants],
     ]
     if section:
         found.append(cell(section, F.col("section_a1"), F.col("section"), when=~is_grand & F.col("section").isNotNull()))
@@ -134,13 +129,14 @@ def ingest_crosstab(cells: DataFrame, spec: Spec) -> Tidy:
         "row_kind",
         F.when(~is_entity, F.col("label")).alias("row_label"),
     )
-    receipts = receipts.select(F.lit(spec.table).alias("table_name"), "row_id", "x.column_name", "sheet", "x.a1", "x.raw_value", "x.formula")
+    receipts = receipts.select(F.lit(spec.table).alias("table_name"), "row_id", "x.column_name", "sheet", "x.a1", "x.raw_value", "x.formula", "x.synthetic")
     return Tidy(tidy, receipts, notes(cells, spec), dims, [spec.measure])
 
 
-def _receipt(name: str, a1: Column, raw: Column, formula: Column | None, when: Column | None) -> Column:
+def _receipt(name: str, a1: Column, raw: Column, formula: Column | None = None, when: Column | None = None, synthetic: bool = False) -> Column:
+    """A receipt; one marked synthetic names a cell that stands for a constant of the spec, not one that holds it."""
     none = F.lit(None).cast("string")
-    own = F.struct(F.lit(name).alias("column_name"), a1.alias("a1"), raw.alias("raw_value"), (none if formula is None else formula).alias("formula"))
+    own = F.struct(F.lit(name).alias("column_name"), a1.alias("a1"), raw.alias("raw_value"), (none if formula is None else formula).alias("formula"), F.lit(synthetic).alias("synthetic"))
     return own if when is None else F.when(when, own)
 
 
@@ -182,7 +178,7 @@ def ingest_record(cells: DataFrame, spec: Spec, headers: dict[str, str] | None =
     tidy = rows.select(
         "__row_id", *[i.alias(headers[x]) for x, i in zip(s0.id_columns, ids)], *[F.col(f"{x}.num").alias(headers[x]) for x in s0.value_columns], F.lit("entity").alias("row_kind")
     )
-    receipts = receipts.select(F.lit(spec.table).alias("table_name"), "row_id", "x.column_name", "sheet", "x.a1", "x.raw_value", "x.formula")
+    receipts = receipts.select(F.lit(spec.table).alias("table_name"), "row_id", "x.column_name", "sheet", "x.a1", "x.raw_value", "x.formula", "x.synthetic")
     empty = cells.filter(F.lit(False)).select("sheet", "a1", "text")
     return Tidy(tidy, receipts, empty, [*[headers[x] for x in s0.id_columns], "row_kind"], [headers[x] for x in s0.value_columns])
 

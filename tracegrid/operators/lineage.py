@@ -6,8 +6,8 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from tracegrid.operators.order import numbered
 from tracegrid.plans.model import Citation, VerificationError
 
 TOLERANCE = 1e-6
@@ -90,8 +90,7 @@ def collapse_ranges(cells: DataFrame) -> DataFrame:
     Runs end where rows do not follow each other; addresses that are no A1 stay as they are.
     """
     own = cells.select("sheet", "a1").distinct().select("sheet", "a1", a1_column(F.col("a1")).alias("letter"), a1_row(F.col("a1")).alias("r"))
-    place = Window.partitionBy("sheet", "letter").orderBy("r")
-    runs = own.filter("r IS NOT NULL").withColumn("island", F.col("r") - F.row_number().over(place))
+    runs = numbered(own.filter("r IS NOT NULL"), ["sheet", "letter"], ["r"], "k").withColumn("island", F.col("r") - F.col("k"))
     ref = F.when(F.min("r") == F.max("r"), F.concat("letter", F.min("r").cast("string"))).otherwise(
         F.concat(F.col("letter"), F.min("r").cast("string"), F.lit(":"), F.col("letter"), F.max("r").cast("string"))
     )
@@ -109,9 +108,41 @@ def expand_ranges(ranges: DataFrame) -> DataFrame:
     return out.select("sheet", F.coalesce(F.concat("letter", F.col("r").cast("string")), "ref").alias("a1"))
 
 
+#: More cells than this are cited as ranges, for no reader goes through them one by one.
+MOST_CELLS = 10_000
+
+
+def spans(cells: DataFrame) -> DataFrame:
+    """The least rectangle of one column that holds all cited cells of that column: a superset, one row for each sheet and column."""
+    own = cells.select("sheet", a1_column(F.col("a1")).alias("letter"), a1_row(F.col("a1")).alias("r"))
+    ref = F.concat(F.col("letter"), F.min("r").cast("string"), F.lit(":"), F.col("letter"), F.max("r").cast("string"))
+    return own.groupBy("sheet", "letter").agg(ref.alias("ref"), F.count(F.lit(1)).alias("n_cells")).select("sheet", "ref", "n_cells")
+
+
 def as_citations(cells: DataFrame) -> list[Citation]:
-    """The cells of one finished value, for a reader."""
-    return [Citation(r["sheet"], r["a1"], r["raw_value"], r["formula"]) for r in cells.collect()]
+    """The cells of one finished value, for a reader.
+
+    Up to ``MOST_CELLS`` cells come one by one; beyond that their ranges, and where even those are more, the span
+    of each column. So what reaches the driver is bounded, whatever the value rests on.
+    """
+    few = cells.limit(MOST_CELLS + 1).collect()
+    if len(few) <= MOST_CELLS:
+        return [Citation(r["sheet"], r["a1"], r["raw_value"], r["formula"]) for r in few]
+    ranges = collapse_ranges(cells).orderBy("sheet", "ref").limit(MOST_CELLS + 1).collect()
+    if len(ranges) > MOST_CELLS:
+        ranges = spans(cells).orderBy("sheet", "ref").collect()
+    return [Citation(r["sheet"], r["ref"], None, None) for r in ranges]
+
+
+def verify_cells(value: float | None, cells: DataFrame, cited: list[Citation], agg: str) -> None:
+    """``verify`` for a value whose citations may be ranges: those are added up where the cells are."""
+    if value is None or not any(":" in c.a1 for c in cited):
+        return verify(value, cited, agg)
+    row = cited_aggregate(cells).first() if agg != "count" else {"count": cells.count()}
+    got = row[agg]
+    if got is None or abs(got - value) > TOLERANCE * max(1.0, abs(value)):
+        raise VerificationError(f"the cited cells give {got}, the answer says {value}")
+    return None
 
 
 def verify(value: float | None, cells: list[Citation], agg: str) -> None:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from tracegrid.operators.order import numbered, with_neighbours
 
 # Words that mark totals and sections.
 TOTAL_WORDS = r"(?i)\b(total|totals|sum|subtotal|grand|all india|overall)\b"
-SECTION_HINT = r"(?i)^\s*(region|zone|area|group|category|section)\b"
+SECTION_HINT = r"(?i)^\s*(region|zone|area|group|category|section)\b[\s:\-–]"
 
 
 def mark() -> Column:
@@ -46,11 +47,7 @@ def column_profile(cells: DataFrame) -> DataFrame:
 
 def anchors(rows: DataFrame, edge: int = 4) -> DataFrame:
     """The rows that a sketch shows: the ends, both sides of each change of shape, and marked rows."""
-    by = Window.partitionBy("file", "sheet").orderBy("r")
-    back = Window.partitionBy("file", "sheet").orderBy(F.desc("r"))
-    shape = F.translate("marks", "f", "#")
-    seen = rows.withColumn("shape", shape).withColumn("before", F.lag("shape").over(by)).withColumn("after", F.lead("shape").over(by))
-    seen = seen.withColumn("k", F.row_number().over(by)).withColumn("j", F.row_number().over(back))
+    seen = with_neighbours(rows.withColumn("shape", F.translate("marks", "f", "#")), ["file", "sheet"], "r", "shape")
     ends = (F.col("k") <= edge) | (F.col("j") <= edge)
     changes = (F.col("before") != F.col("shape")) | (F.col("after") != F.col("shape"))
     return seen.filter(ends | F.coalesce(changes, F.lit(False)) | F.col("merged") | F.col("total") | F.col("section")).drop("before", "after", "k", "j")
@@ -59,11 +56,16 @@ def anchors(rows: DataFrame, edge: int = 4) -> DataFrame:
 def skipped_runs(rows: DataFrame, kept: DataFrame) -> DataFrame:
     """first, last, n: the runs of rows that a sketch leaves out."""
     gone = rows.join(kept.select("file", "sheet", "r"), ["file", "sheet", "r"], "left_anti")
-    place = Window.partitionBy("file", "sheet").orderBy("r")
-    island = gone.withColumn("k", F.col("r") - F.row_number().over(place))
+    island = numbered(gone, ["file", "sheet"], ["r"], "k").withColumn("k", F.col("r") - F.col("k"))
     return island.groupBy("file", "sheet", "k").agg(F.min("r").alias("first"), F.max("r").alias("last"), F.count(F.lit(1)).alias("n")).drop("k")
 
 
+def grid(cells: DataFrame, sheet: str, rows: int = 30, columns: int = 12) -> str:
+    """The first rows of a sheet as a person checks them: row number, shape, M where cells are merged, and the label."""
+    first = row_profile(cells.filter(F.col("sheet") == sheet)).orderBy("r").limit(rows).collect()
+    return "\n".join(f"{r['r']:>4} {r['marks'][:columns]:<{columns}} {'M' if r['merged'] else ' '} {(r['label'] or '')[:46]}" for r in first)
+
+
 def sketch(cells: DataFrame, sheet: str, columns: int = 12, edge: int = 4, most: int = 400) -> str:
     """A sheet's structure as text for a person or a model: anchors, and how many like rows lie between."""
     rows = row_profile(cells.filter(F.col("sheet") == sheet))
