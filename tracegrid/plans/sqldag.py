@@ -1,8 +1,8 @@
 """Lineage of a SQL answer: its operators as a DAG whose nodes know, lazily, the rows they rest on.
 
 The DAG is read off Spark's analysed plan. A filter over the base table alone is re-applied to it to name
-rows; common table expressions are shared nodes; a window passes on its input, which makes the lineage a
-superset, and so it is called approximate.
+rows; common table expressions are shared nodes. A window, and a filter on anything but base columns (a sum, a
+subquery), pass on their whole input, which makes the lineage a superset, and so it is called approximate.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException, ParseException
 
 from tracegrid.operators import lineage
 from tracegrid.plans.sqlgate import _analysed, problems, scala_items
@@ -68,21 +69,47 @@ class OperatorDag:
         return reduce(DataFrame.unionByName, [lineage.citations(rows, cell_map, m) for m in self.measures])
 
     def classify(self) -> str:
-        """approximate where a window was passed, flat where all is one scan, precise otherwise."""
+        """approximate where a window or a filter passed on more than it used, flat where all is one scan, precise otherwise."""
         if any(n.approximate for n in self.nodes):
             return "approximate"
         return "flat" if sum(n.kind in ("scan", "cte", "scalar") for n in self.nodes) == 1 else "precise"
 
 
-def _base_predicate(condition: str, columns: list[str]) -> str | None:
-    """A condition over base columns alone, freed of its qualifiers; None if it needs anything else."""
-    plain = re.sub(r"(?:\b\w+|`[^`]+`)\.(?=\w|`)", "", condition)
-    text = re.sub(r"'(?:[^']|'')*'", "", plain)
-    words = {w.lower() for w in re.findall(r"`[^`]+`|[A-Za-z_]\w*", text)}
-    known = {c.lower() for c in columns} | {f"`{c.lower()}`" for c in columns}
-    operators = {"and", "or", "not", "is", "null", "in", "like", "cast", "as", "string", "double", "int", "bigint", "true", "false", "between", "d", "rlike"}
-    used = words - operators
-    return plain if used and used <= known else None
+def _expressions(node) -> list:  # noqa: ANN001
+    """An expression and all it is made of."""
+    found, todo = [], [node]
+    while todo:
+        e = todo.pop()
+        found.append(e)
+        todo += scala_items(e.children())
+    return found
+
+
+def _base_predicate(condition, base: dict[int, str], table: DataFrame) -> str | None:  # noqa: ANN001
+    """A condition of the analysed plan as SQL over the base table; None if it rests on anything else.
+
+    Columns are known by their attribute ids, not by their names: an alias of the same name is another
+    attribute. Each base attribute, as the plan prints it, becomes its plain column outside of string literals.
+    """
+    names = {}
+    for e in _expressions(condition):
+        kind = e.getClass().getSimpleName()
+        if "ubquery" in kind or kind in ("Exists", "OuterReference"):
+            return None
+        if kind == "AttributeReference":
+            if e.exprId().id() not in base:
+                return None
+            names[e.sql()] = "`" + base[e.exprId().id()].replace("`", "``") + "`"
+    if not names:
+        return None
+    printed = "|".join(re.escape(n) for n in sorted(names, key=len, reverse=True))
+    parts = re.split(r"('(?:[^'\\\\]|\\\\.)*')", condition.sql())
+    text = "".join(x if i % 2 else re.sub(rf"(?<![\w`.])(?:{printed})(?![\w`])", lambda m: names[m[0]], x) for i, x in enumerate(parts))
+    try:
+        table.filter(text).schema  # noqa: B018  what the plan prints need not parse again
+    except (AnalysisException, ParseException):
+        return None
+    return text
 
 
 def build(table: DataFrame, name: str, sql: str) -> OperatorDag:
@@ -94,10 +121,12 @@ def build(table: DataFrame, name: str, sql: str) -> OperatorDag:
     numeric = [c for c, t in table.dtypes if t in ("double", "bigint", "int", "float") and not c.startswith("__")]
     dag.measures = [c for c in numeric if re.search(rf"\b{re.escape(c)}\b", sql)] or numeric[:1]
     shared: dict[int, int] = {}
+    base: dict[int, str] = {}  # attribute ids of all scans of the table
 
     def convert(node) -> int:  # noqa: ANN001
         kind = node.getClass().getSimpleName()
         if kind == "SubqueryAlias" and scala_items(node.identifier().qualifier()) == [] and str(node.identifier().name()).lower() == name.lower():
+            base.update({a.exprId().id(): a.name() for a in scala_items(node.output())})
             return dag.add("scan", [])
         if kind == "WithCTE":
             for d in scala_items(node.cteDefs()):
@@ -110,7 +139,8 @@ def build(table: DataFrame, name: str, sql: str) -> OperatorDag:
         if kind in ("SubqueryAlias", "View"):
             return inputs[0]
         if kind == "Filter":
-            return dag.add("filter", inputs + scalars, _base_predicate(node.condition().sql(), table.columns))
+            predicate = _base_predicate(node.condition(), base, table)
+            return dag.add("filter", inputs + scalars, predicate, approximate=predicate is None)
         if kind == "OneRowRelation":
             return dag.add("one", [])
         return dag.add(kind.lower(), inputs + scalars, approximate=kind == "Window")
