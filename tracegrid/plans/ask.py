@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from tracegrid.operators import execute, lineage
 from tracegrid.plans import gates
 from tracegrid.plans.catalog import Catalog
+from tracegrid.plans.examples import examples_text
 from tracegrid.plans.model import Abstain, Answer, Citation, DerivedPlan, Plan, PlanFailure, QueryPlan, Value, VerificationError, plan_from_dict
 from tracegrid.plans.sqldag import build
 from tracegrid.plans.sqlgate import gated, problems
@@ -65,13 +66,18 @@ def _clarify(question: str, text: str, options: list[str], plan: Plan | None = N
     return Answer(question, "clarify", reason=text, options=options, plan=plan)
 
 
+def prompt_of(catalog: Catalog) -> str:
+    """What a planner is told: the catalog, and examples made of it."""
+    return f"{catalog.to_prompt()}\n\n{examples_text(catalog)}"
+
+
 def planned(question: str, catalog: Catalog, planners: list[Planner], previous: Plan | None) -> Plan:
     """The first plan that names all the question names, invents nothing and compiles, cheapest planner first."""
     guessed: str | None = None
     for planner in planners:
         for _ in range(ATTEMPTS):
             try:
-                plan = plan_from_dict(planner.plan(question, catalog.to_prompt()))
+                plan = plan_from_dict(planner.plan(question, prompt_of(catalog)))
                 if isinstance(plan, Abstain):
                     return plan
                 if gates.dropped_filters(question, plan, catalog):
@@ -120,7 +126,7 @@ class Workbook:
         out = Answer(question, "answered", plan.narration, slots, plan=made.plan, echo=echo(made.plan, sources))
         if plan.metric.agg == "count" and row[-1] == 0:
             out.note = "no rows matched"
-        lineage.verify(row[-1], slots[plan.slots[-1]].citations, plan.metric.agg)
+        lineage.verify_cells(row[-1], lineage.citations(behind, self.cell_map, plan.metric.column), slots[plan.slots[-1]].citations, plan.metric.agg)
         self._check_digits(out, made.plan)
         return out
 
@@ -134,7 +140,7 @@ class Workbook:
             metric = next(x.metric for x in plan.parts if x.name == p)
             unit = self.catalog.unit if metric.column == self.catalog.measure else None
             parts[p] = Value(v, execute.formatted(v), unit, self._cells(made.provenance(p), metric.column))
-            lineage.verify(v, parts[p].citations, metric.agg)
+            lineage.verify_cells(v, lineage.citations(made.provenance(p), self.cell_map, metric.column), parts[p].citations, metric.agg)
         a, b = row["of"], row["by"]
         again = {"divide": lambda: a / b, "subtract": lambda: a - b, "percent_change": lambda: (a - b) / b}[plan.op]() * plan.scale
         if abs(again - row["v1"]) > lineage.TOLERANCE * max(1.0, abs(row["v1"])):

@@ -39,6 +39,8 @@ class Column:
     scope: bool = False
     aliases: dict[str, str] = field(default_factory=dict)
     unit: str | None = None
+    description: str = ""
+    counted: bool = True  # whether ``distinct`` was counted, not sketched
 
     @property
     def is_measure(self) -> bool:
@@ -59,6 +61,9 @@ class Catalog:
     file_defaults: dict[str, str] = field(default_factory=dict)
     absent: tuple[str, ...] = ()
     description: str = ""
+    notes: tuple[str, ...] = ()
+    entity: str | None = None
+    period: str | None = None
     unknown_annotations: tuple[str, ...] = ()
 
     @property
@@ -85,13 +90,16 @@ class Catalog:
     def to_prompt(self) -> str:
         """The catalog as a model sees it: names, types and labels, no values."""
         lines = [f"table {self.table}, measure {self.measure}" + (f" in {self.unit}" if self.unit else "")]
+        if self.description:
+            lines.append(self.description)
         for c in self.columns:
-            about = f"labels {', '.join(c.labels)}" if c.labels else f"{c.distinct} distinct"
-            lines.append(f"- {c.name} {c.dtype}: {about}" + (", a scope" if c.scope else ""))
+            about = f"labels {', '.join(c.labels)}" if c.labels else f"{'' if c.counted else 'about '}{c.distinct} distinct"
+            lines.append(f"- {c.name} {c.dtype}: {about}" + (", a scope" if c.scope else "") + (f"; {c.description}" if c.description else ""))
         if self.defaults:
             lines.append("defaults: " + ", ".join(f"{k}={v}" for k, v in self.defaults.items()))
         if self.absent:
             lines.append("not in this file: " + ", ".join(self.absent))
+        lines += [f"note: {n}" for n in self.notes]
         return "\n".join(lines)
 
 
@@ -131,10 +139,16 @@ def build_catalog(
     aliases: dict[str, dict[str, str]] | None = None,
     units: dict[str, str] | None = None,
     absent: tuple[str, ...] = (),
+    descriptions: dict[str, str] | None = None,
+    description: str = "",
+    notes: tuple[str, ...] = (),
+    entity: str | None = None,
+    period: str | None = None,
 ) -> Catalog:
     """Two jobs: sketched statistics of all columns, then the labels of those that seem to have few.
 
-    Where labels are listed the count is exact; elsewhere it is the sketch's.
+    Where labels are listed the count is exact; elsewhere it is the sketch's, and the column says so (``counted``).
+    ``notes`` are what the sheet's own notes say, ``description`` and ``descriptions`` what a person says of it.
     """
     stats = {r["column_name"]: r for r in column_statistics(table, exact=False).collect()}
     types = dict(table.dtypes)
@@ -148,6 +162,6 @@ def build_catalog(
         count = len(labels[c]) if c in labels else r["distinct"]
         own = sorted(labels.get(c, [])) if count <= LABEL_CAP else []
         scope = (scopes or {}).get(c, layout == "crosstab" and looks_periodic(own))
-        columns.append(Column(c, types[c], r["nulls"], count, own, scope, (aliases or {}).get(c, {}), (units or {}).get(c)))
-    unknown = tuple(sorted(k for k in {*(defaults or {}), *(scopes or {}), *(aliases or {}), *(units or {})} if k not in stats))
-    return Catalog(name, columns, measure, (units or {}).get(measure), layout, defaults or {}, absent, unknown_annotations=unknown)
+        columns.append(Column(c, types[c], r["nulls"], count, own, scope, (aliases or {}).get(c, {}), (units or {}).get(c), (descriptions or {}).get(c, ""), c in labels))
+    unknown = tuple(sorted(k for k in {*(defaults or {}), *(scopes or {}), *(aliases or {}), *(units or {}), *(descriptions or {})} if k not in stats))
+    return Catalog(name, columns, measure, (units or {}).get(measure), layout, defaults or {}, absent, description, notes, entity, period, unknown)

@@ -24,7 +24,8 @@ LABEL_SHARE = 0.5
 PERIODIC_SHARE = 0.8
 ASCII_SHARE = 0.8
 MIN_PREFIX = 3
-MOST_KINDS = 1000
+MOST_TOTALS = 1000
+MOST_NOTES = 10_000
 
 
 @dataclass
@@ -61,9 +62,8 @@ def common_prefix(labels: list[str]) -> str:
     return first[:n]
 
 
-def synthesised_kinds(labels: list[dict]) -> dict[str, str]:
-    """Patterns for subtotals, grand totals and section headers from (label, times, numeric) groups."""
-    totals = [x for x in labels if re.search(TOTAL_WORDS.replace("(?i)", ""), x["label"], re.I)]
+def total_kinds(totals: list[dict]) -> dict[str, str]:
+    """Patterns for subtotals and grand totals from (label, times) groups of labels that sound like totals."""
     repeated = sorted(x["label"] for x in totals if x["times"] > 1)
     once = sorted(x["label"] for x in totals if x["times"] == 1)
     kinds = {}
@@ -71,13 +71,34 @@ def synthesised_kinds(labels: list[dict]) -> dict[str, str]:
         kinds["subtotal"] = f"^{re.escape(repeated[0])}$"
     if once:
         kinds["grand_total"] = f"^({'|'.join(re.escape(x) for x in once)})$"
-    heads = sorted(x["label"] for x in labels if x not in totals and x["numeric"] == 0)
-    prefix = common_prefix(heads)
-    if len(heads) >= 2 and len(prefix) >= MIN_PREFIX:
-        kinds["section_header"] = f"^{re.escape(prefix)}"
     return kinds
 
 
+def section_kinds(least: str | None, greatest: str | None, n: int) -> dict[str, str]:
+    """The pattern of section headers: what all of ``n`` labels without numbers begin with.
+
+    The labels between the least and the greatest, in order of their lower case, share those two's beginning.
+    """
+    prefix = common_prefix([least or "", greatest or ""])
+    return {"section_header": f"^{re.escape(prefix)}"} if n >= 2 and len(prefix) >= MIN_PREFIX else {}
+
+
+def _collected(rows: DataFrame, most: int, what: str) -> list:
+    """The rows of a bounded result; one that is larger is no such result, and is refused rather than cut."""
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} {what}: this is no table that can be read without a spec")
+    return found
+
+
+def run_above(rows: DataFrame, row: int) -> int:
+    """The first row of the unbroken run of ``rows(r)`` that ends right above ``row``; ``row`` itself if there is none."""
+    below = rows.select((F.col("r") + 1).alias("r"))
+    starts = rows.join(below, "r", "left_anti").agg(F.max("r").alias("r"))
+    one = starts.crossJoin(rows.agg(F.max("r").alias("last"))).first()  # two single rows
+    return one["r"] if one["last"] == row - 1 else row
+
+
 def layout_of(headers: list[str], ids: int, width: int) -> tuple[str, str]:
     """crosstab or record, and how sure: periods as headers make a cross-tab, names make a record table."""
     periodic = [any(re.search(p, h) for p in PERIOD_PATTERNS) for h in headers]
@@ -105,15 +126,13 @@ def read_sheet(cells: DataFrame, sheet: str) -> Reading | None:
         return None
     # label-only rows (section headers) may open the block
     above = own.filter(F.col("r") < first).groupBy("r").agg(F.count_if(F.col("c") < lo).alias("left"), F.count_if(F.col("c") >= lo).alias("right"))
-    rows_above = {r["r"]: (r["left"], r["right"]) for r in above.orderBy(F.desc("r")).limit(50).collect()}
-    header = max((r for r, (_, right) in rows_above.items() if right), default=None)
-    while first - 1 in rows_above and rows_above[first - 1][1] == 0 and rows_above[first - 1][0] == 1 and (header or 0) < first - 1:
-        first -= 1
-    headers = own.filter((F.col("r") == (header or 0)) & F.col("c").between(1, hi)).select("c", "text").collect()
+    header = above.filter("right > 0").agg(F.max("r")).first()[0]
+    first = run_above(above.filter(f"r > {header or 0} AND right = 0 AND left = 1").select("r"), first)
+    headers = own.filter((F.col("r") == (header or 0)) & F.col("c").between(1, hi)).select("c", "text").collect()  # one row of a sheet
     named = {r["c"]: (r["text"] or "").strip() for r in headers}
     stacked = [header] if header else []
-    while header and stacked[0] - 1 in rows_above and rows_above[stacked[0] - 1][1] >= need and not any(any(re.search(p, h) for p in PERIOD_PATTERNS) for c, h in named.items() if c >= lo):
-        stacked.insert(0, stacked[0] - 1)
+    if header and not any(re.search(p, h) for p in PERIOD_PATTERNS for c, h in named.items() if c >= lo):
+        stacked = list(range(run_above(above.filter(f"r < {header} AND right >= {need}").select("r"), header), header + 1))
     data = own.filter(F.col("r").between(first, last))
     n_rows = last - first + 1
     left = data.filter((F.col("c") < lo) & (mark() == "T")).groupBy("c").agg(F.count(F.lit(1)).alias("k")).collect()
@@ -124,10 +143,14 @@ def read_sheet(cells: DataFrame, sheet: str) -> Reading | None:
     labels = data.filter((F.col("c") == label) & (mark() == "T")).select("r", F.trim(F.regexp_replace("text", FOOTNOTE, "")).alias("label"))
     counts = data.filter(F.col("c").between(lo, hi) & (mark() != "T")).groupBy("r").agg(F.count(F.lit(1)).alias("k"))
     groups = labels.join(counts, "r", "left").groupBy("label").agg(F.count(F.lit(1)).alias("times"), F.sum(F.coalesce("k", F.lit(0))).alias("numeric"))
-    odd = groups.filter(F.col("label").rlike(TOTAL_WORDS) | (F.col("numeric") == 0)).orderBy("label").limit(MOST_KINDS)
-    kinds = synthesised_kinds([r.asDict() for r in odd.collect()]) if layout == "crosstab" else {}
+    kinds = {}
+    if layout == "crosstab":
+        is_total = F.col("label").rlike(TOTAL_WORDS)
+        kinds = total_kinds([r.asDict() for r in _collected(groups.filter(is_total).select("label", "times"), MOST_TOTALS, "labels of totals")])
+        bare = F.when(~is_total & (F.col("numeric") == 0), F.col("label"))
+        kinds |= section_kinds(*groups.agg(F.min_by(bare, F.lower(bare)), F.max_by(bare, F.lower(bare)), F.count(bare)).first())
     outside = row_profile(own.filter((F.col("r") < first) | (F.col("r") > last))).filter(f"filled <= 2 AND label IS NOT NULL AND r <> {header or 0}")
-    note_rows = [r["r"] for r in outside.select("r").orderBy("r").limit(MOST_KINDS).collect()]
+    note_rows = sorted(r["r"] for r in _collected(outside.select("r"), MOST_NOTES, "rows of notes"))
     by_c = {c["c"]: c for c in columns}
     numeric = [c for c in range(lo, hi + 1) if layout == "crosstab" or (by_c.get(c) and by_c[c]["numeric"] >= by_c[c]["text"])]
     spec = SheetSpec(

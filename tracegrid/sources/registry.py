@@ -70,8 +70,9 @@ class Registry:
 
     def _build_catalog(self, table: str, stamp: float) -> Catalog:
         spec = self.resolve(table)
-        rows = ingest.load(self.spark, str(self.folder / "stores" / table))[0]
-        return build_catalog(rows, spec.table, spec.measure, layout=spec.layout, defaults=spec.defaults, aliases=spec.aliases, units={spec.measure: spec.unit} if spec.unit else None, absent=tuple(spec.absent))
+        rows, _, notes = ingest.load(self.spark, str(self.folder / "stores" / table))
+        said = tuple(r["text"] for r in notes.orderBy("sheet", "a1").collect())  # as many as the spec's note rows
+        return build_catalog(rows, spec.table, spec.measure, layout=spec.layout, defaults=spec.defaults, aliases=spec.aliases, units={spec.measure: spec.unit} if spec.unit else None, absent=tuple(spec.absent), notes=said, entity=spec.entity, period=spec.period)
 
     def workbook(self, table: str | None = None) -> Workbook:
         """The workbook with its catalog, which is built anew when the store has changed."""
