@@ -14,6 +14,9 @@ from pyspark.sql.window import Window
 from tracegrid.operators.ingest import dense_row_ids
 from tracegrid.operators.lineage import column_letter
 from tracegrid.plans.catalog import Catalog, Column
+from tracegrid.plans.spec import SheetSpec, Spec, letters_of
+from tracegrid.sources.cells import cells_from
+from tracegrid.sources.store import stored
 
 FIRST_ROW = 8
 HEADER_ROW = 7
@@ -33,18 +36,24 @@ def sales_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy(*keys).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("value"))
 
 
+def places_of(nation: DataFrame, region: DataFrame) -> DataFrame:
+    """entity, section and the row of each nation; both tables are of fixed size, so their ranks need no partitioning."""
+    places = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("entity"), F.col("r_name").alias("section"))
+    placed = places.withColumn("k", F.row_number().over(Window.orderBy("section", "entity"))).withColumn("s", F.dense_rank().over(Window.orderBy("section")))
+    return placed.select("entity", "section", (F.lit(FIRST_ROW) + F.col("k") + 2 * (F.col("s") - 1)).alias("r"))
+
+
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tidy table, ingested once and asked many times, as any workbook is."""
+    return stored(spark, f"sales of {sf_dir}", lambda: ingested_sales(spark, sf_dir))
+
+
+def ingested_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tidy table with ``__row_id``, ``row_kind`` and the address of each value cell."""
     facts = sales_facts(spark, sf_dir)
     total = facts.groupBy("entity", "section", "period").agg(F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("value"))
     both = facts.unionByName(total.withColumn("status", F.lit("ALL")))
-    # the dimension tables are of fixed size, so their ranks need no partitioning
-    nation, region = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
-    places = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("entity"), F.col("r_name").alias("section"))
-    by_name = Window.orderBy("section", "entity")
-    by_section = Window.orderBy("section")
-    placed = places.withColumn("k", F.row_number().over(by_name)).withColumn("s", F.dense_rank().over(by_section))
-    placed = placed.select("entity", "section", (F.lit(FIRST_ROW) + F.col("k") + 2 * (F.col("s") - 1)).alias("r"))
+    placed = places_of(read(spark, sf_dir, "nation"), read(spark, sf_dir, "region"))
     heads = placed.groupBy("section").agg((F.min("r") - 1).alias("header_r"))
     periods = read(spark, sf_dir, "orders").select(F.year("o_orderdate").cast("string").alias("period")).distinct()
     columns = periods.withColumn("c", F.row_number().over(Window.orderBy("period")) + 1)
@@ -74,6 +83,48 @@ def sales_receipts(tidy: DataFrame) -> DataFrame:
     )
 
 
+SHEETS = ("ALL", "F", "O", "P")
+KINDS = {"subtotal": r"^Region\ Total$", "section_header": r"^REGION\ \-\ "}
+NOTES = {3: "Orders by nation and year", 4: "Figures in currency [1]"}
+
+
+def sales_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of the sales sheets, as a reader gives them, kept as a file would keep them."""
+    return stored(spark, f"sales cells of {sf_dir}", lambda: written_cells(spark, sf_dir))
+
+
+def written_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sheets that the sales table would be read from: titles, notes, stacked headers, sections, values and subtotals."""
+    tidy = sales(spark, sf_dir)
+    one = lambda r, c, num, text: F.struct(r.cast("int").alias("r"), c.cast("int").alias("c"), num.cast("double").alias("num"), text.alias("text"))
+    none, at = F.lit(None), F.lit(1)
+    money = lambda v: v.cast("decimal(18,2)").cast("string")
+    values = tidy.select("sheet", one(F.col("r"), F.col("c"), F.col("value"), money(F.col("value"))).alias("x"))
+    headers = tidy.select("sheet", "c", "period").distinct().select("sheet", F.explode(F.array(one(F.lit(HEADER_ROW - 1), F.col("c"), none, F.lit(" Year  ")), one(F.lit(HEADER_ROW), F.col("c"), none, F.col("period")))).alias("x"))
+    nation, region = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
+    placed = places_of(nation, region)
+    ends = placed.groupBy("section").agg((F.min("r") - 1).alias("head"), (F.max("r") + 1).alias("foot"))
+    names = spark.createDataFrame([(s,) for s in SHEETS], "sheet string")
+    labels = placed.select(one(F.col("r"), at, none, F.concat("entity", F.lit(" [1]"))).alias("x"))
+    labels = labels.unionByName(ends.select(F.explode(F.array(one(F.col("head"), at, none, F.concat(F.lit("REGION - "), "section")), one(F.col("foot"), at, none, F.lit("Region Total*")))).alias("x")))
+    labels = labels.crossJoin(F.broadcast(names))  # four sheets
+    sums = tidy.groupBy("sheet", "section", "c").agg(F.sum(F.col("value").cast("decimal(18,2)")).alias("v")).join(ends, "section")
+    subtotals = sums.select("sheet", one(F.col("foot"), F.col("c"), F.col("v"), money(F.col("v"))).alias("x"))
+    notes = names.select("sheet", F.explode(F.array(one(F.lit(1), at, none, F.concat(F.lit("Status "), "sheet")), *[one(F.lit(r), at, none, F.lit(t)) for r, t in NOTES.items()])).alias("x"))
+    whole = values.unionByName(headers).unionByName(labels.select("sheet", "x")).unionByName(subtotals).unionByName(notes)
+    return cells_from(whole.select("sheet", "x.*"), "sales.xlsx", list(SHEETS))
+
+
+def sales_spec(spark: SparkSession, sf_dir: str) -> Spec:
+    """How ``sales_cells`` are to be read."""
+    nation, region = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
+    last = places_of(nation, region).agg(F.max("r") + 1).first()[0]  # one row
+    wide = read(spark, sf_dir, "orders").select(F.year("o_orderdate")).distinct().count()
+    columns = [letters_of(c) for c in range(2, wide + 2)]
+    sheets = [SheetSpec(s, [HEADER_ROW - 1, HEADER_ROW], FIRST_ROW, last, columns, "A", [], list(NOTES), KINDS, {"status": s}) for s in SHEETS]
+    return Spec("sales.xlsx", "sales", "crosstab", "entity", "value", "period", sheets, "section", "currency", {"status": "ALL"})
+
+
 def sales_catalog() -> Catalog:
     text = lambda n, **k: Column(n, "string", **k)
     columns = [text("entity"), text("section"), text("period", scope=True), text("status"), Column("value", "double", unit="currency"), text("row_kind")]

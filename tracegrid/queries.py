@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from tracegrid.functions import sqlsubset
 from tracegrid.operators import execute, findings, ingest, lineage, probe
 from tracegrid.plans import catalog as cat
-from tracegrid.plans.demo import SALES_SQL, read, sales, sales_catalog, sales_receipts
+from tracegrid.plans.demo import SALES_SQL, read, sales, sales_catalog, sales_cells, sales_receipts, sales_spec
 from tracegrid.plans.model import Aggregate, Condition, DerivedPlan, MultiStepPlan, Part, QueryPlan
 from tracegrid.sources.cells import cells_of_table
 
@@ -275,6 +275,68 @@ def q31_unpivot(spark, sf):  # noqa: ANN001, ANN201
     return ingest.unpivot_wide(wide, ["k"], ["bal", "twice"], "variable", "value")
 
 
+# The sales sheets as cells, read by the real ingest: titles, notes, two header rows, sections, subtotals, constants.
+CROSSTAB = """
+crosstab AS (
+  SELECT row_number() OVER (ORDER BY sheet, r, c) - 1 AS row_id, * FROM (
+    SELECT sheet, r, c, header_r, entity AS label, entity, section, 'Year ' || period AS period, status, value, 'entity' AS row_kind, entity || ' [1]' AS raw_label FROM sales UNION ALL
+    SELECT sheet, (SELECT max(r) + 1 FROM placed p WHERE p.section = sales.section), c, header_r, 'Region Total', NULL, section, 'Year ' || period, status,
+           CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE), 'subtotal', 'Region Total*'
+    FROM sales GROUP BY sheet, section, c, header_r, period, status))
+"""
+
+
+def on_crosstab(select: str) -> str:
+    return f"WITH {SALES_SQL}, {CROSSTAB} {select}"
+
+
+def _crosstab(spark: SparkSession, sf: str) -> ingest.Tidy:
+    return ingest.ingest_crosstab(sales_cells(spark, sf), sales_spec(spark, sf))
+
+
+@query(on_crosstab("SELECT row_id, entity, section, period, status, value, row_kind, CASE WHEN row_kind <> 'entity' THEN label END AS row_label FROM crosstab"))
+def q31_crosstab_ingest(spark, sf):  # noqa: ANN001, ANN201
+    return _crosstab(spark, sf).rows.withColumnRenamed("__row_id", "row_id")
+
+
+AT = "chr((64 + c)::INT)"
+
+
+@query(
+    on_crosstab(
+        f"SELECT row_id, 'value' AS column_name, sheet, {AT} || r AS a1, CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) AS raw_value, false AS synthetic FROM crosstab UNION ALL "
+        f"SELECT row_id, 'period', sheet, {AT} || '6', period, false FROM crosstab UNION ALL SELECT row_id, 'row_kind', sheet, 'A' || r, raw_label, false FROM crosstab UNION ALL "
+        "SELECT row_id, 'entity', sheet, 'A' || r, raw_label, false FROM crosstab WHERE row_kind = 'entity' UNION ALL "
+        "SELECT row_id, 'section', sheet, 'A' || header_r, section, false FROM crosstab UNION ALL SELECT row_id, 'status', sheet, 'A1', status, true FROM crosstab"
+    )
+)
+def q35_crosstab_receipts(spark, sf):  # noqa: ANN001, ANN201
+    return _crosstab(spark, sf).receipts.select("row_id", "column_name", "sheet", "a1", "raw_value", "synthetic")
+
+
+@query(on_sales(f"SELECT DISTINCT sheet, c::INT AS c, 'Year ' || period AS label, {AT} || '6' AS header_a1 FROM sales"))
+def q31_stacked_headers(spark, sf):  # noqa: ANN001, ANN201
+    spec = sales_spec(spark, sf)
+    numbers = spec.sheets[0].value_numbers
+    return ingest.header_labels(sales_cells(spark, sf), spec.sheets[0].header_rows, min(numbers), max(numbers))
+
+
+@query("SELECT s AS sheet, 'A' || r AS a1, t AS text FROM (VALUES ('ALL'), ('F'), ('O'), ('P')) x(s), (VALUES (3, 'Orders by nation and year'), (4, 'Figures in currency [1]')) y(r, t)")
+def q35_notes(spark, sf):  # noqa: ANN001, ANN201
+    return ingest.notes(sales_cells(spark, sf), sales_spec(spark, sf))
+
+
+@query("SELECT 'crosstab' AS layout, 8 AS first_row, (SELECT max(r) + 1 FROM (SELECT 8 + row_number() OVER (ORDER BY r_name, n_name) + 2 * (dense_rank() OVER (ORDER BY r_name) - 1) AS r FROM nation JOIN region ON n_regionkey = r_regionkey))::INT AS last_row, 'B' AS first_column, 'A' AS label_column, '7' AS headers, 'section_header,subtotal' AS kinds")
+def q31_geometry(spark, sf):  # noqa: ANN001, ANN201
+    """How an unseen sheet is read: the block, its headers, labels and row kinds."""
+    from tracegrid.plans.geometry import read_sheet
+
+    got = read_sheet(sales_cells(spark, sf), "ALL")
+    x = got.sheet
+    row = (got.layout, x.first_data_row, x.last_data_row, x.value_columns[0], x.label_column, ",".join(map(str, x.header_rows)), ",".join(sorted(x.row_kinds)))
+    return spark.createDataFrame([row], "layout string, first_row int, last_row int, first_column string, label_column string, headers string, kinds string")
+
+
 PLACES = "(SELECT n_name, r_name, 8 + row_number() OVER (ORDER BY r_name, n_name) + 2 * (dense_rank() OVER (ORDER BY r_name) - 1) AS r FROM nation JOIN region ON n_regionkey = r_regionkey)"
 
 
@@ -487,6 +549,65 @@ def _register_sql() -> None:
 
 _register_sql()
 
+# Statements whose words differ between engines: Spark's, and the same for DuckDB.
+BOTH = {
+    "q63_dates": (
+        "SELECT DISTINCT period, year(make_date(CAST(period AS INT), 3, 1)) AS y, CAST(date_diff(make_date(CAST(period AS INT), 12, 31), make_date(CAST(period AS INT), 1, 1)) AS BIGINT) AS days, CAST(date_trunc('month', make_date(CAST(period AS INT), 3, 15)) AS DATE) AS m, CAST(quarter(make_date(CAST(period AS INT), 8, 1)) AS BIGINT) AS q FROM sales",
+        "SELECT DISTINCT period, year(make_date(CAST(period AS INT), 3, 1))::INT AS y, date_diff('day', make_date(CAST(period AS INT), 1, 1), make_date(CAST(period AS INT), 12, 31)) AS days, CAST(date_trunc('month', make_date(CAST(period AS INT), 3, 15)) AS DATE) AS m, quarter(make_date(CAST(period AS INT), 8, 1)) AS q FROM sales",
+    ),
+    "q63_arg_max": (
+        "SELECT section, max_by(entity, value) AS best, min_by(entity, value) AS worst FROM sales WHERE status = 'ALL' AND period = '1997' GROUP BY section",
+        "SELECT section, arg_max(entity, value) AS best, arg_min(entity, value) AS worst FROM sales WHERE status = 'ALL' AND period = '1997' GROUP BY section",
+    ),
+    "q63_regression": (
+        "SELECT round(regr_intercept(value, CAST(period AS DOUBLE)) / 1e6, 4) AS intercept, round(regr_r2(value, CAST(period AS DOUBLE)), 6) AS r2, regr_count(value, CAST(period AS DOUBLE)) AS n FROM sales WHERE status = 'ALL'",
+        "SELECT round(regr_intercept(value, CAST(period AS DOUBLE)) / 1e6, 4) AS intercept, round(regr_r2(value, CAST(period AS DOUBLE)), 6) AS r2, regr_count(value, CAST(period AS DOUBLE))::BIGINT AS n FROM sales WHERE status = 'ALL'",
+    ),
+    "q63_division_by_zero": (
+        "SELECT section, try_divide(sum(value), count_if(entity = 'NOWHERE')) AS v, round(try_divide(sum(value), count(*)), 2) AS mean FROM sales GROUP BY section",
+        "SELECT section, sum(value) / nullif(count(*) FILTER (WHERE entity = 'NOWHERE'), 0) AS v, round(sum(value) / count(*), 2) AS mean FROM sales GROUP BY section",
+    ),
+}
+
+
+def _register_both() -> None:
+    for name, (own, theirs) in BOTH.items():
+
+        def run(spark: SparkSession, sf: str, text: str = own) -> DataFrame:
+            return _sql(spark, sf, text)
+
+        run.__name__ = name
+        query(on_sales(theirs))(run)
+
+
+_register_both()
+
+
+@query("SELECT event_type, round(mad(value), 6) AS mad FROM events GROUP BY event_type")
+def q46_median_absolute_deviation(spark, sf):  # noqa: ANN001, ANN201
+    return sqlsubset.median_absolute_deviation(read(spark, sf, "events"), ["event_type"], "value").withColumn("mad", F.round("mad", 6))
+
+
+@query("SELECT event_type, round(skewness(value), 6) AS skewness, round(kurtosis(value), 6) AS kurtosis FROM events GROUP BY event_type")
+def q46_skewness_kurtosis(spark, sf):  # noqa: ANN001, ANN201
+    return sqlsubset.shape(read(spark, sf, "events"), ["event_type"], "value")
+
+
+@query("SELECT o_orderstatus, arg_max(o_orderpriority, (n, o_orderpriority)) AS mode FROM (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL) GROUP BY o_orderstatus")
+def q46_mode(spark, sf):  # noqa: ANN001, ANN201
+    return sqlsubset.most_frequent(read(spark, sf, "orders"), ["o_orderstatus"], "o_orderpriority", "mode")
+
+
+FLAT_FUNCTIONS = "upper(section) = 'ASIA' AND length(entity) = 9 AND CAST(period AS INT) % 2 = 1 AND status IN ('F', 'O')"
+
+
+@query(on_sales(f"SELECT __row_id FROM sales WHERE {FLAT_FUNCTIONS}"))
+def q64_function_lineage(spark, sf):  # noqa: ANN001, ANN201
+    """Functions and arithmetic in WHERE name their rows as plain comparisons do."""
+    from tracegrid.plans.sqldag import build
+
+    return build(sales(spark, sf), "sales", f"SELECT sum(s.value) AS v FROM (SELECT * FROM sales) s WHERE {FLAT_FUNCTIONS}").root_rows()
+
 
 # ---------------------------------------------------------------- findings
 

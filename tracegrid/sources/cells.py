@@ -194,6 +194,18 @@ def cells_of_table(table: DataFrame, sheet: str, header: bool = True, file: str
     )
 
 
+def cells_from(rows: DataFrame, file: str, sheets: list[str]) -> DataFrame:
+    """``rows(sheet, r, c, num, text)`` as cells of the given sheets; what has a number is a number, the rest is text."""
+    from tracegrid.operators.lineage import column_letter
+
+    index = F.array_position(F.array(*[F.lit(s) for s in sheets]), F.col("sheet")) - 1
+    kind = F.when(F.col("num").isNull(), "T").otherwise("#")
+    return rows.select(
+        F.lit(file).alias("file"), "sheet", index.cast("int").alias("sheet_idx"), "r", "c", F.concat(column_letter(F.col("c")), F.col("r").cast("string")).alias("a1"),
+        kind.alias("kind"), "num", "text", F.col("text").alias("raw"), F.lit(None).cast("string").alias("formula"), F.lit(False).alias("merged"),
+    )
+
+
 def sheets(cells: DataFrame) -> DataFrame:
     return cells.select("file", "sheet", "sheet_idx").distinct().orderBy("file", "sheet_idx")
 
