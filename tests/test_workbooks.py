@@ -221,6 +221,29 @@ def test_sketch(spark, tmp_path):
     assert "more rows, same shape" in text and "Total" in text and len(text.splitlines()) < 14
 
 
+def test_long_preambles_and_many_totals(spark, tmp_path, monkeypatch):
+    """Nothing above the data is cut off, however far up it stands; what is no table is refused, not read in part."""
+    notes = [[f"remark {i}", None, None] for i in range(1, 71)]
+    parts = [[f"PART - {x}", None, None] for x in "ab"]
+    body = [parts[0], ["one", 1, 2], ["two", 3, 4], ["Total of a", 4, 6], parts[1], ["three", 5, 6], ["Total of b", 5, 6]]
+    write_csv(tmp_path / "l.csv", [*notes, [None, "2023-24", "2024-25"], *body])
+    cells = read_cells(spark, str(tmp_path / "l.csv")).cache()
+    s = geometry.read_sheet(cells, "Sheet1").sheet
+    assert (s.header_rows, s.first_data_row, s.last_data_row, s.note_rows) == ([71], 72, 78, list(range(1, 71)))
+    assert set(s.row_kinds) == {"section_header", "grand_total"} and s.row_kinds["section_header"] == r"^PART\ \-\ "
+    assert len(probe.grid(cells, "Sheet1", rows=75).splitlines()) == 75
+    monkeypatch.setattr(geometry, "MOST_TOTALS", 1)
+    with pytest.raises(ValueError, match="labels of totals"):
+        geometry.read_sheet(cells, "Sheet1")
+
+
+def test_constants_are_marked_as_such(spark, tmp_path):
+    write_csv(tmp_path / "k.csv", [["title", None], [None, "2023-24"], ["Income", 10]])
+    spec = Spec("k.csv", "k", "crosstab", "item", "value", "year", [SheetSpec("Sheet1", [2], 3, 3, ["B"], "A", constants={"unit": "k"})])
+    got = {r["column_name"]: (r["a1"], r["raw_value"], r["synthetic"]) for r in ingest.ingest(read_cells(spark, str(tmp_path / "k.csv")), spec).receipts.collect()}
+    assert got == {"value": ("B3", "10", False), "year": ("B2", "2023-24", False), "row_kind": ("A3", "Income", False), "item": ("A3", "Income", False), "unit": ("A1", "k", True)}
+
+
 def test_wide_layouts(spark, tmp_path):
     quarters = [f"Q{i % 4 + 1}-{2020 + i // 4}" for i in range(10)]
     write_csv(tmp_path / "q.csv", [["co", *quarters], ["A", *range(10)], [None] * 11, ["B", *range(10, 20)], ["C", *range(5, 15)]])
