@@ -289,18 +289,18 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> Additi
     return fit(got[FEATURE_NAMES].to_numpy(float), got["y"].to_numpy(float))
 
 
-def score(docs: DataFrame, model: AdditiveModel, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` (doc_id by default) and ``score`` for every row."""
+def score(docs: DataFrame, model: AdditiveModel, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """``keep`` (doc_id by default) and the score, as column ``name``, for every row."""
     text_batches(docs.sparkSession)
     names = keep or ["doc_id"]
     part = docs.select(*[F.col(f"`{c}`") for c in names], F.col("text").alias("__scored_text"))
-    schema = part.drop("__scored_text").withColumn("score", F.lit(0.0)).schema
+    schema = part.drop("__scored_text").withColumn(name, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             s = [model.score(features(t)) for _, t in chunks(texts)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(s) if s else np.zeros(0))], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(s) if s else np.zeros(0))], [*names, name])
 
     return part.mapInArrow(run, schema)
 
@@ -312,9 +312,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject; columns as they were."""
+    """The rows of ``docs`` that the classifier does not reject; columns as they were, one called ``score`` too."""
     names = docs.columns
-    out = score(docs, train(docs, labels), names)
-    if "score" in names:
-        raise ValueError("rename the column score before filtering by quality")
-    return out.filter(F.col("score") >= THRESHOLD).select(*[F.col(f"`{c}`") for c in names])
+    out = score(docs, train(docs, labels), names, "__quality_score")
+    return out.filter(F.col("__quality_score") >= THRESHOLD).select(*[F.col(f"`{c}`") for c in names])
