@@ -71,20 +71,30 @@ def dedup_lines(docs: DataFrame, size: int = WINDOW_LINES) -> DataFrame:
     """``docs`` with repeated windows removed from ``text``; adds ``lines_total`` and ``lines_removed``."""
     cut = covered_lines(docs, size)
     names = [c for c in docs.columns if c not in ("lines_total", "lines_removed")]
-    joined = (
-        docs.select(*[F.col(f"`{c}`") for c in names])
-        .withColumn("__line_key", F.xxhash64("text"))
-        .join(cut, F.col("doc_id").eqNullSafe(F.col("__line_id")) & (F.col("__line_key") == F.col("__line_th")), "left")
+    # the lines travel in place of the text: each is looked up by its number, in time linear in the text
+    own = [F.split("text", "\n", -1).alias("__line_list") if c == "text" else F.col(f"`{c}`") for c in names]
+    joined = docs.select(*own, F.xxhash64("text").alias("__line_key")).join(
+        cut, F.col("doc_id").eqNullSafe(F.col("__line_id")) & (F.col("__line_key") == F.col("__line_th")), "left"
     )
-    kept = F.filter(_lines(F.col("text")), lambda _, i: ~F.array_contains(F.col("__line_cut"), i))
-    text = F.when(F.col("__line_cut").isNull(), F.col("text")).otherwise(F.concat_ws("\n", kept))
+    numbers = F.array_except(F.sequence(F.lit(0), F.size("__line_list") - 1), F.col("__line_cut"))
+    kept = F.when(F.col("__line_cut").isNull(), F.col("__line_list")).otherwise(F.transform(numbers, lambda i: F.get(F.col("__line_list"), i)))
+    text = F.when(F.col("__line_list").isNotNull(), F.concat_ws("\n", kept))
     return joined.select(
         *[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in names],
-        F.size(_lines(F.col("text"))).cast("long").alias("lines_total"),
+        F.coalesce(F.size("__line_list"), F.lit(1)).cast("long").alias("lines_total"),
         F.coalesce(F.size("__line_cut"), F.lit(0)).cast("long").alias("lines_removed"),
     )
 
 
+def deduplicated(docs: DataFrame, size: int = WINDOW_LINES) -> DataFrame:
+    """``docs`` with repeated windows removed, columns as they were; rows that lose all their content go."""
+    totals = {c: f"__line_own_{c}" for c in ("lines_total", "lines_removed") if c in docs.columns}
+    out = dedup_lines(docs.withColumnsRenamed(totals), size)
+    emptied = (F.col("lines_removed") > 0) & (F.trim(F.translate("text", "\n", "")) == "")
+    kept = out.filter(~emptied | F.col("text").isNull())
+    return kept.drop("lines_total", "lines_removed").withColumnsRenamed({v: k for k, v in totals.items()}).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 #: What ``op8_line_dedup`` returns, for DuckDB.
 ORACLE_SQL = """
 WITH lines AS (
