@@ -2,6 +2,11 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return the columns of
 ``documents``. ``run`` writes each stage's result to the shared folder and reads it again for the next.
+
+Defined cases: a null text is scored and packed as an empty one and is in no duplicate group; a document of which
+line dedup leaves no content goes with that stage, one that had none before stays; rows with a null doc_id are never
+near duplicates; rows that repeat a doc_id are judged by their own texts; extra columns, whatever their names, pass
+through every stage but packing; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,8 +23,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without later occurrences of repeated three-line windows."""
-    return line_dedup.dedup_lines(docs).select(*docs.columns)
+    """The documents without later occurrences of repeated three-line windows; those of which nothing is left go."""
+    return line_dedup.deduplicated(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
