@@ -186,5 +186,5 @@ def test_warc_parser():
     two = b"WARC/1.0\r\nWARC-Type: metadata\r\nX: a\r\n b\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
     whole = b"junk\r\n" + one + two + one[:-20]
     for data in (whole, gzip.compress(whole), gzip.compress(one) + gzip.compress(two)):
-        got = list(warc.records(warc.inflate(data)))
+        got = list(warc.records(warc.inflated(data)))
         assert [dict(h)["warc-type"] for h, _ in got] == ["response", "metadata"] and len(got[0][1]) == 30 and dict(got[1][0])["x"] == "a b"

@@ -3,11 +3,13 @@
 Writing: every page becomes one capture of three records, a request, a response and a metadata record,
 tied together by ``WARC-Concurrent-To``. Pages with equal payloads of at least ``MIN_REVISIT_BYTES``
 share one response, that of the smallest ``page_id``; the others become revisit records that carry no
-payload and refer to it. Spark's text writer puts the records into gzip files, so files are committed
+payload and refer to it. Pages are dealt evenly, those of a payload that very many share over salts, into files
+of about ``FILE_BYTES`` of records. Spark's text writer puts the records into gzip files, so files are committed
 whole and a lost task writes its file again.
 
-Reading: each archive file is read by Spark and parsed in a task of its own (plain, gzip as a whole or
-gzip by record). Content-Length alone says where a record ends; payloads may hold anything.
+Reading: Spark reads each archive file and hands it to a task as compressed bytes; it is inflated and parsed
+piece by piece (plain, gzip as a whole or gzip by record), so a task holds one compressed file and one record.
+Content-Length alone says where a record ends; payloads may hold anything.
 
 Assembly: requests and metadata are joined to their response or revisit through concurrent-to
 identifiers, in either direction, metadata also by way of a request. One nested row comes out for each
@@ -27,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracegrid.llm.runtime import materialised, new_folder
+from tracegrid.llm.runtime import hot_keys, materialised, new_folder, salted_join
 
 MIN_REVISIT_BYTES = 100
 CRLF = "\r\n"
-RECORDS_PER_FILE = 30_000
+FILE_BYTES = 64 << 20
+PIECE = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 
 RECORD_SCHEMA = (
@@ -65,15 +68,18 @@ def with_originals(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> Data
         F.coalesce(F.regexp_replace("url", r"[\r\n]", ""), F.lit("urn:tracegrid:none")).alias("url"),
         F.coalesce(F.col("html"), F.lit("")).alias("html"),
     ).withColumn("digest", F.sha2("html", 256))
-    first = (
+    copies = (
         base.filter(F.octet_length("html") >= min_bytes)
         .groupBy("digest")
         .agg(F.min("page_id").alias("original_id"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1 AND original_id IS NOT NULL")
-        .drop("n")
     )
+    copies = materialised(copies, "warc-copies")
+    size = pages.agg(F.sum(F.octet_length("html")).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
+    files = max(pages.sparkSession.sparkContext.defaultParallelism, -(-((size["bytes"] or 0) + 1024 * size["n"]) // FILE_BYTES))
     revisit = F.col("original_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original_id"))
-    return base.join(first.hint("shuffle_hash"), "digest", "left").withColumn("is_revisit", revisit)
+    joined = salted_join(base, copies.drop("n"), ["digest"], ["page_id"], hot_keys(copies, ["digest"], "n", size["n"]), "left", files)
+    return joined.withColumn("is_revisit", revisit)
 
 
 def capture_records(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
@@ -105,7 +111,6 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTE
         capture_records(pages, min_bytes)
         .write.option("lineSep", CRLF + CRLF)
         .option("compression", "gzip")
-        .option("maxRecordsPerFile", RECORDS_PER_FILE)
         .text(path)
     )
 
@@ -113,16 +118,24 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTE
 # ---------------------------------------------------------------- reading
 
 
-def inflate(data: bytes) -> bytes:
-    """The content of a gzip file of one or many members; other data come back as they are."""
+def inflated(data: bytes) -> Iterator[bytes]:
+    """The content of a gzip file of one or many members, piece by piece; other data come in one piece."""
     if data[:2] != b"\x1f\x8b":
-        return data
-    parts = []
-    while data[:2] == b"\x1f\x8b":
-        one = zlib.decompressobj(31)
-        parts.append(one.decompress(data))
-        data = one.unused_data
-    return b"".join(parts)
+        yield data
+        return
+    view, member = memoryview(data), None
+    for at in range(0, len(view), PIECE):
+        rest = view[at : at + PIECE]
+        while len(rest):
+            if member is None:
+                if rest[0] != 0x1F:  # something else follows the last member
+                    return
+                member = zlib.decompressobj(31)
+            yield member.decompress(rest, 4 * PIECE)
+            rest = member.unused_data if member.eof else member.unconsumed_tail
+            member = None if member.eof else member
+    if member is not None:
+        yield member.flush()
 
 
 def _headers(lines: list[bytes]) -> list[tuple[str, str]]:
@@ -137,23 +150,36 @@ def _headers(lines: list[bytes]) -> list[tuple[str, str]]:
     return out
 
 
-def records(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
-    """Headers and block of each record; leading junk before a version line is skipped."""
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        head = _headers(data[at:end].split(b"\r\n")[1:])
+def records(pieces: Iterator[bytes]) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
+    """Headers and block of each record; leading junk before a version line is skipped, a cut-off last record dropped."""
+    held, over = bytearray(), False
+
+    def more() -> bool:
+        nonlocal over
+        piece = next(pieces, None)
+        over = piece is None
+        held.extend(piece or b"")
+        return not over
+
+    while True:
+        while (at := held.find(b"WARC/")) < 0:
+            del held[:-4]
+            if not more():
+                return
+        while (end := held.find(b"\r\n\r\n", at)) < 0:
+            if not more():
+                return
+        head = _headers(bytes(held[at:end]).split(b"\r\n")[1:])
         length = next((v for k, v in head if k == "content-length"), "")
         if not length.isdigit():
-            at = end + 4
+            del held[: end + 4]
             continue
         stop = end + 4 + int(length)
-        if stop > len(data):
-            return
-        yield head, data[end + 4 : stop]
-        at = stop
+        while len(held) < stop:
+            if not more():
+                return
+        yield head, bytes(held[end + 4 : stop])
+        del held[:stop]
 
 
 def _parsed(head: list[tuple[str, str]], block: bytes, keep_payload: bool) -> dict:
@@ -190,7 +216,7 @@ def read_records(spark: SparkSession, path: str, keep_payload: bool = True, batc
         for one in batches:
             for value in one.column(0):
                 rows = []
-                for head, block in records(inflate(value.as_py())):
+                for head, block in records(inflated(value.as_py())):
                     rows.append(_parsed(head, block, keep_payload))
                     if len(rows) >= batch:
                         yield pa.RecordBatch.from_pylist(rows, schema=arrow)
@@ -251,7 +277,13 @@ def round_trip(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFram
     target = found.filter("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to_id")).agg(
         F.first("page_id").alias("refers_to"), F.first("own_bytes").alias("their_bytes"), F.first("own_digest").alias("their_digest")
     )
-    return found.join(target, "refers_to_id", "left").select(
+    # only revisits refer to anything; what very many refer to is spread over tasks
+    asking = found.filter("refers_to_id IS NOT NULL")
+    counts = asking.groupBy("refers_to_id").agg(F.count(F.lit(1)).alias("n"))
+    hot = hot_keys(counts, ["refers_to_id"], "n", asking.count())
+    told = salted_join(asking, target, ["refers_to_id"], ["record_id"], hot, "left")
+    plain = found.filter("refers_to_id IS NULL").select("*", F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("long").alias("their_bytes"), F.lit(None).cast("string").alias("their_digest"))
+    return told.unionByName(plain).select(
         "page_id",
         F.coalesce("own_bytes", "their_bytes").alias("payload_bytes"),
         F.coalesce("own_digest", "their_digest").alias("payload_digest"),
