@@ -42,6 +42,7 @@ RANGE_BYTES = 8 << 20
 RUN_BYTES = 24 << 20
 CHUNK_BYTES = 4 << 20
 SEGMENT = 1 << 22
+SPLITS = 1 << 24
 _LOW = U64((1 << 23) - 1)
 _BASE2 = 0xC2B2AE3D27D4EB4F
 
@@ -64,6 +65,19 @@ def _sums(data: np.ndarray, base2: bool = False) -> np.ndarray:
     return out
 
 
+def _inverses2(n: int) -> np.ndarray:
+    """Powers 0..n-1 of the inverse of the second base."""
+    inv = np.full(n, pow(_BASE2, -1, 1 << 64), U64)
+    inv[0] = 1
+    return np.cumprod(inv, dtype=U64)
+
+
+def second_prints(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """The second fingerprint of the strings of ``length`` bytes that start at ``at``."""
+    sums = _sums(data, True)
+    return mix((sums[at + length] - sums[at]) * _inverses2(len(data) + 1)[at])
+
+
 def anchors(data: np.ndarray, ptr: np.ndarray, length: int = LENGTH, k: int = KGRAM) -> tuple[np.ndarray, ...]:
     """row, first window, last window, anchor place, anchor hash, two context hashes, first eight bytes."""
     n = len(data)
@@ -94,10 +108,7 @@ def anchors(data: np.ndarray, ptr: np.ndarray, length: int = LENGTH, k: int = KG
     c1 = mix((sums[b + length] - sums[a]) * inv[a])
     # the second base has its inverse powers only where contexts start
     second = _sums(data, True)
-    inv2 = np.full(len(data) + 1, pow(_BASE2, -1, 1 << 64), U64)
-    inv2[0] = 1
-    inv2 = np.cumprod(inv2, dtype=U64)
-    c2 = mix((second[b + length] - second[a]) * inv2[a] + (b - a).astype(U64))
+    c2 = mix((second[b + length] - second[a]) * _inverses2(len(data) + 1)[a] + (b - a).astype(U64))
     head = np.zeros(len(place), U64)
     for j in range(8):
         head = (head << U64(8)) | data[place + j].astype(U64)
@@ -229,8 +240,12 @@ def merged(runs: list[Iterator[tuple[bytes, int]]]) -> Iterator[tuple[int, bytes
             node //= 2
 
 
-def _runs(splitters: list[int]):
-    """Sorted, front-coded runs of the contexts that a task holds, one row for each range they reach."""
+def _runs(splitters: list[int], parts: dict[int, int]):
+    """Sorted, front-coded runs of the contexts that a task holds, one row for each range they reach.
+
+    A range is one of first eight bytes; beginnings in ``parts`` are so common that theirs is split further,
+    by anchor, which keeps the contexts of one anchor together.
+    """
 
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         held.sort(key=lambda x: (x[0], x[1], x[2]))
@@ -254,7 +269,8 @@ def _runs(splitters: list[int]):
             for c in found:
                 a, b, p = c["a"], c["b"], c["p"]
                 suffix, left = text[p : b + LENGTH], text[a:p]
-                held.append((bisect_right(splitters, c["head"]), suffix, left, (doc is None, doc or 0, text_hash, a, c["n"])))
+                range_ = bisect_right(splitters, c["head"]) * SPLITS + c["anchor"] % parts.get(c["head"], 1)
+                held.append((range_, suffix, left, (doc is None, doc or 0, text_hash, a, c["n"])))
                 total += len(suffix) + len(left)
             if total > RUN_BYTES:
                 yield from flush(held)
@@ -275,7 +291,8 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 def repeated_windows(contexts: list[bytes], lefts: np.ndarray, groups: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Context, first window and last window of all runs of windows that occur twice in their group.
 
-    Windows are compared at equal distance to the anchor, which is ``lefts`` bytes behind a context's start.
+    Windows are compared at equal distance to the anchor, which is ``lefts`` bytes behind a context's start, by
+    two fingerprints of 64 bits from different bases; the second is taken only where the first occurs twice.
     """
     sizes = np.array([len(c) for c in contexts], np.int64)
     data = np.frombuffer(b"".join(contexts), np.uint8)
@@ -292,8 +309,16 @@ def repeated_windows(contexts: list[bytes], lefts: np.ndarray, groups: np.ndarra
     twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
     if not len(twice):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    flag = twice[np.minimum(np.searchsorted(twice, key), len(twice) - 1)] == key
-    hit = np.flatnonzero(flag)
+    hit = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, key), len(twice) - 1)] == key)
+    k1, k2 = key[hit], second_prints(data, at[hit], length)
+    order = np.lexsort((k2, k1))
+    same = (k1[order][1:] == k1[order][:-1]) & (k2[order][1:] == k2[order][:-1])
+    sure = np.zeros(len(hit), bool)
+    sure[order[1:][same]] = True
+    sure[order[:-1][same]] = True
+    hit = hit[sure]
+    if not len(hit):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     new = np.concatenate([[True], (np.diff(hit) != 1) | (ctx[hit][1:] != ctx[hit][:-1])])
     last = np.append(new[1:], True)
     return ctx[hit[new]], t[hit[new]], t[hit[last]]
@@ -350,11 +375,11 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = np.frombuffer(text[c["a"] : c["b"] + LENGTH], np.uint8)
             sums, inv = _sums(data), powers(len(data) + 1)[1]
             t = np.arange(len(data) - LENGTH + 1)
-            fp = signed(mix((sums[t + LENGTH] - sums[t]) * inv[t]))
+            fp, fp2 = signed(mix((sums[t + LENGTH] - sums[t]) * inv[t])), signed(second_prints(data, t, LENGTH))
             n = len(t)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([doc] * n, pa.int64()), pa.array(np.full(n, text_hash)), pa.array(c["a"] + t), pa.array(np.full(n, c["anchor"])), pa.array(c["p"] - c["a"] - t), pa.array(fp), pa.array(np.full(n, c["n"]))],
-                ["doc_id", "text_hash", "lo", "anchor", "o", "fp", "n"],
+                [pa.array([doc] * n, pa.int64()), pa.array(np.full(n, text_hash)), pa.array(c["a"] + t), pa.array(np.full(n, c["anchor"])), pa.array(c["p"] - c["a"] - t), pa.array(fp), pa.array(fp2), pa.array(np.full(n, c["n"]))],
+                ["doc_id", "text_hash", "lo", "anchor", "o", "fp", "fp2", "n"],
             )
 
 
@@ -391,15 +416,18 @@ def repeated_ranges(docs: DataFrame, texts: DataFrame, group_contexts: int = GRO
     if ranges > 1:
         # quantiles by a percentile sketch: the answer is as long as there are ranges, and any cut sorts right
         splitters = sorted(set(calm.agg(F.percentile_approx("head", [i / ranges for i in range(1, ranges)], 10_000)).first()[0]))
-    runs = _with_texts(calm, texts).mapInArrow(_runs(splitters), RUN)
+    # fewer beginnings than ranges hold more than a range's bytes
+    heads = calm.groupBy("head").agg(F.sum(F.col("b") - F.col("a") + LENGTH).alias("bytes")).filter(F.col("bytes") > RANGE_BYTES).collect() if ranges > 1 else []
+    parts = {r["head"]: min(SPLITS, -(-int(r["bytes"]) // RANGE_BYTES)) for r in heads}
+    runs = _with_texts(calm, texts).mapInArrow(_runs(splitters, parts), RUN)
     partial = runs.groupBy("range").applyInArrow(_merge_range, "doc_id long, text_hash long, lo long, hi long")
     out = whole.unionByName(partial)
 
     if not picked.filter("crowded").isEmpty():
         text_batches(spark)
-        windows = materialised(_with_texts(picked.filter("crowded"), texts).mapInArrow(_window_rows, "doc_id long, text_hash long, lo long, anchor long, o long, fp long, n long"), "suffix-windows")
-        twice = windows.groupBy("anchor", "o", "fp").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
-        hit = windows.filter("n = 1").join(twice, ["anchor", "o", "fp"])
+        windows = materialised(_with_texts(picked.filter("crowded"), texts).mapInArrow(_window_rows, "doc_id long, text_hash long, lo long, anchor long, o long, fp long, fp2 long, n long"), "suffix-windows")
+        twice = windows.groupBy("anchor", "o", "fp", "fp2").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
+        hit = windows.filter("n = 1").join(twice, ["anchor", "o", "fp", "fp2"])
         out = out.unionByName(hit.select("doc_id", "text_hash", "lo", (F.col("lo") + LENGTH).alias("hi")))
     return out
 
