@@ -1,12 +1,14 @@
 """Toxicity: a counterfactual-regularised classifier.
 
 Features are the words of a text and their beginnings of ``PREFIXES`` bytes, as 64-bit hashes, each at the
-levels 1, 2 and 4 that its count in the text reaches. Those that occur in at least ``MIN_DOCS`` training texts
-and whose share differs clearly between labels are kept, together with all identity terms. A logistic model is fitted to them with a ridge and a counterfactual
+levels 1, 2 and 4 that its count in the text reaches. All that occur in at least ``MIN_DOCS`` training texts
+and whose share differs clearly between labels (``MIN_Z`` standard errors) are kept, together with all identity
+terms; the training rows are bounded, and so are their features. A logistic model is fitted to them with a ridge and a counterfactual
 penalty: for every labelled text that names an identity group, ``SWAPS`` copies are made in which all terms at
 once are swapped for terms of the other groups of their kinds. Text and copies go through the same features, and
-the squared change of the score's logit over all of them (words, beginnings, counts) is penalised. A group's name alone can then not move a score, which keeps neutral mentions of groups from
-being flagged.
+the squared change of the score's logit over all of them (words, beginnings, counts) is penalised. A group's
+name alone then moves a score very little, which keeps neutral mentions of groups from being flagged. Terms are
+listed for English, German, French and Spanish; a name that is not listed is a word like any other.
 
 Training uses labelled rows of the training folds only, crc32(doc_id as text) mod 5 not 0, and at most about
 ``TRAIN_ROWS`` of them, chosen by a hash of their doc_id. No label, language, source or id is a feature.
@@ -36,14 +38,14 @@ PREFIXES = (5, 7)
 LEVELS = (1, 2, 4)
 MIN_DOCS = 6
 MIN_Z = 5.0
-MAX_FEATURES = 4096
 RIDGE = 1e-3
-PENALTY = 1.0
+PENALTY = 10.0
 SWAPS = 3
 STEPS = 400
+RATE = 0.1
 THRESHOLD = 0.5
 
-# Terms that name groups, by kind; a swap replaces a term by one of the same kind.
+# Terms that name groups, by language and kind; a swap replaces a term by one of the same kind.
 IDENTITY_TERMS = {
     "religion": "christian muslim jewish hindu buddhist atheist catholic protestant sikh".split(),
     "religions": "christians muslims jews hindus buddhists atheists catholics protestants sikhs".split(),
@@ -54,11 +56,30 @@ IDENTITY_TERMS = {
     "colour": "black white brown".split(),
     "age": "young old elderly teenage".split(),
     "ability": "deaf blind disabled autistic paralyzed".split(),
+    "de religion": "christlich muslimisch jüdisch hinduistisch buddhistisch katholisch evangelisch".split(),
+    "de religions": "christen muslime juden hindus buddhisten atheisten katholiken protestanten".split(),
+    "de gender": "männer frauen jungen mädchen".split(),
+    "de orientation": "schwul lesbisch bisexuell heterosexuell homosexuell".split(),
+    "de origin": "afrikanisch amerikanisch arabisch asiatisch chinesisch deutsch französisch indisch italienisch polnisch russisch spanisch türkisch".split(),
+    "fr religion": "chrétien musulman juif hindou bouddhiste athée catholique protestant sikh".split(),
+    "fr religions": "chrétiens musulmans juifs hindous bouddhistes athées catholiques protestants sikhs".split(),
+    "fr gender": "homme femme garçon fille".split(),
+    "fr orientation": "lesbienne bisexuel hétérosexuel homosexuel".split(),
+    "fr origin": "africain américain arabe asiatique chinois allemand français indien italien polonais russe espagnol turc".split(),
+    "es religion": "cristiano musulmán judío hindú budista ateo católico protestante".split(),
+    "es religions": "cristianos musulmanes judíos hindúes budistas ateos católicos protestantes".split(),
+    "es gender": "hombre mujer niño niña".split(),
+    "es orientation": "lesbiana bisexual heterosexual homosexual".split(),
+    "es origin": "africano americano árabe asiático chino alemán francés indio italiano polaco ruso español turco".split(),
 }
+# A word that several kinds list is swapped within the first of them.
 
 
 # Each term as bytes: its place in its kind, and the kind.
-_KIND_OF = {t.encode(): (i, [x.encode() for x in terms]) for terms in IDENTITY_TERMS.values() if len(terms) > 1 for i, t in enumerate(terms)}
+_KIND_OF: dict[bytes, tuple[int, list[bytes]]] = {}
+for _terms in IDENTITY_TERMS.values():
+    for _i, _t in enumerate(_terms):
+        _KIND_OF.setdefault(_t.encode(), (_i, [x.encode() for x in _terms]))
 
 
 def _hashes(terms: list[str]) -> np.ndarray:
@@ -182,8 +203,9 @@ def fit(row: np.ndarray, at: np.ndarray, y: np.ndarray, n_features: int, kinds:
         moment, spread = 0.9 * moment + 0.1 * grad, 0.99 * spread + 0.01 * grad * grad
         m0, s0 = 0.9 * m0 + 0.1 * g0, 0.99 * s0 + 0.01 * g0 * g0
         fix, fix2 = 1 - 0.9**t, 1 - 0.99**t
-        w -= 0.1 * (moment / fix) / (np.sqrt(spread / fix2) + 1e-8)
-        base -= 0.1 * (m0 / fix) / (np.sqrt(s0 / fix2) + 1e-8)
+        rate = RATE * min(1.0, 2 * (1 - t / (STEPS + 1)))  # even at first, then down to nothing, so that it settles
+        w -= rate * (moment / fix) / (np.sqrt(spread / fix2) + 1e-8)
+        base -= rate * (m0 / fix) / (np.sqrt(s0 / fix2) + 1e-8)
     return base, w
 
 
@@ -213,7 +235,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> Toxici
     picked = (
         sample.mapInArrow(counts, "h long, n long, ones long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"))
         .filter(F.col("n") >= MIN_DOCS).withColumn("z", F.abs(z)).filter(F.col("z") >= MIN_Z)
-        .orderBy(F.desc("z"), "h").limit(MAX_FEATURES).toPandas()
+        .toPandas()
     )
     kinds = [_hashes(terms) for terms in IDENTITY_TERMS.values()]
     keys = np.unique(np.concatenate([picked["h"].to_numpy(np.int64).view(U64), *kinds]))
