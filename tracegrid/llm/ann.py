@@ -37,6 +37,7 @@ ALPHA = 1.2
 EXPAND = 4
 BATCH = 256
 QUERY_BLOCK = 1024
+GROUP_BLOCKS = 16
 INDEX = "shard long, dim int, n int, start int, vectors binary, graph binary, ids array<array<long>>"
 
 
@@ -180,40 +181,50 @@ def build_index(embeddings: DataFrame, nearest: int = NEAREST) -> DataFrame:
     return materialised(dealt.groupBy("shard", "dim").applyInArrow(build, INDEX), "ann-index")
 
 
-def _block_of(queries: DataFrame) -> DataFrame:
-    """Queries packed into blocks: block, dim, their ids and their vectors one after the other."""
+def _blocks_of(queries: DataFrame) -> tuple[DataFrame, int]:
+    """Queries packed into blocks (block, dim, their ids, their vectors one after the other), and how many blocks there are."""
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     packed = queries.withColumn("dim", F.size("vector")).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
     rows = F.array_sort(F.collect_list(F.struct("query_id", "vector")))
-    return packed.groupBy("block", "dim").agg(rows.alias("q")).select("block", "dim", F.col("q.query_id").alias("query_ids"), F.flatten(F.col("q.vector")).alias("query_vectors"))
+    return packed.groupBy("block", "dim").agg(rows.alias("q")).select("block", "dim", F.col("q.query_id").alias("query_ids"), F.flatten(F.col("q.vector")).alias("query_vectors")), blocks
 
 
 def search(index: DataFrame, queries: DataFrame, nearest: int = NEAREST) -> DataFrame:
-    """query_id, rank, vec_id, score: for each of ``queries(query_id, vector)`` the nearest found in any shard."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                x = np.frombuffer(row["vectors"], np.float64).reshape(row["n"], row["dim"])
-                graph = np.frombuffer(row["graph"], np.int32).reshape(row["n"], WIDTH)
-                q = np.asarray(row["query_vectors"], np.float64).reshape(-1, row["dim"])
-                small = x.astype(np.float32)
-                out: list[list] = [[], [], []]
+    """query_id, rank, vec_id, score: for each of ``queries(query_id, vector)`` the nearest found in any shard.
+
+    Every block of queries visits every shard, so the work is shards times blocks and grows with the product of
+    both tables. Each pair of a shard and a group of ``GROUP_BLOCKS`` blocks is a key of its own: no task holds more
+    than one shard and one group, and pairs spread over all tasks whatever the dimensions.
+    """
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[list] = [[], [], []]
+        for row in left.to_pylist():
+            x = np.frombuffer(row["vectors"], np.float64).reshape(row["n"], row["dim"])
+            graph = np.frombuffer(row["graph"], np.int32).reshape(row["n"], WIDTH)
+            small = x.astype(np.float32)
+            for block in right.to_batches(max_chunksize=1):
+                ids = block.column("query_ids")[0].values.to_numpy()
+                q = block.column("query_vectors")[0].values.to_numpy().reshape(-1, row["dim"])
                 for at in range(0, len(q), BATCH):
                     part = q[at : at + BATCH]
                     met, _ = beam_search(small, graph, row["start"], part.astype(np.float32), BEAM)
                     for i, found in enumerate(met):
-                        own = row["query_ids"][at + i]
+                        own = int(ids[at + i])
                         found = found[found >= 0]
                         exact = np.sqrt(((x[found] - part[i]) ** 2).sum(axis=1))
                         best = sorted((d, v) for d, k in sorted(zip(exact.tolist(), found.tolist()))[: nearest + 1] for v in row["ids"][k] if v != own)
                         for d, v in best[:nearest]:
                             out[0].append(own), out[1].append(v), out[2].append(d)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])
-
-    pairs = index.join(_block_of(queries), "dim").select("dim", "n", "start", "vectors", "graph", "ids", "query_ids", "query_vectors")
-    spread = pairs.repartition(max(1, index.count()))
-    found = spread.mapInArrow(run, "query_id long, vec_id long, score double")
+        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])
+
+    packed, blocks = _blocks_of(queries)
+    shards = index.agg(F.max("shard")).first()[0]
+    groups = -(-blocks // GROUP_BLOCKS)
+    key = ["shard", "dim", "part"]
+    left = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).groupBy(*key)
+    right = packed.withColumn("part", F.floor(F.col("block") / F.lit(GROUP_BLOCKS)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards or 0)))).groupBy(*key)
+    found = left.cogroup(right).applyInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= nearest).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
