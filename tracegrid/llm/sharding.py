@@ -8,10 +8,10 @@ others' capacity, so each such group (there are fewer than shards) takes a shard
 the search runs over the rest.
 
 The search never pulls all groups to the driver. Sizes are first summed over a fixed number of hash
-cells; bounds on every cut say which cells can hold one, and only those are split further, until the
-groups in them are few enough to be read exactly. What reaches the driver is bounded by
-``MAX_CELLS`` and ``MAX_GROUPS``, whatever the corpus holds, and the result equals the search over all
-groups.
+cells; walks over whole cells bound the capacity and every cut from both sides, and only the cells in which
+these walks cut, at most four for each shard, are split further, until the groups between the bounds are few enough
+to be read exactly. What reaches the driver at a time is bounded by ``MAX_CELLS`` and ``MAX_GROUPS``, heavy
+groups or not, and the result equals the search over all groups.
 
 Defined cases: a null text has size 8 and is grouped with the empty text; rows with a null or repeated
 ``doc_id`` are placed like all others; an empty table gives an empty result.
@@ -60,31 +60,54 @@ def smallest_capacity(sizes: np.ndarray, shards: int) -> int:
     return low
 
 
-def _open_ranges(starts: np.ndarray, sizes: np.ndarray, shards: int, largest: int) -> list[tuple[int, int]]:
-    """Ranges of cell numbers that can hold a cut of the exact answer.
+def _reached(sizes: np.ndarray, most: np.ndarray, capacity: int, shards: int, far: bool) -> tuple[list[int], bool]:
+    """Cells in which the cuts of a greedy walk over cells lie, and whether ``shards`` shards of that capacity reach the end.
 
-    Cells taken as whole give a feasible, hence an upper, capacity; the fair share and the largest
-    group give a lower one. Cut t lies no further left than the walk over whole cells at the lower
-    capacity (which loses at most one cell a step) and no further right than t times the upper one.
+    ``most`` is the largest group of each cell. The near walk stops before a cell that does not fit whole, so it is
+    never ahead of the walk over groups. The far walk fills its shard up, but where a cell's largest group cannot
+    fit it takes no more than the cell's others, so it is never behind.
     """
     ends = np.cumsum(sizes)
-    total = int(ends[-1])
+    cuts, base = [], 0
+    for _ in range(shards - 1):
+        i = int(np.searchsorted(ends, base + capacity, side="right"))
+        if i >= len(ends):
+            return cuts, True
+        cuts.append(i)
+        start = int(ends[i - 1]) if i else 0
+        reach = base + capacity
+        fits = reach - start >= int(most[i])
+        base = start if not far else reach if fits else min(reach, start + int(sizes[i] - most[i]))
+    return cuts, int(ends[-1]) - base <= capacity
+
+
+def _open_cells(sizes: np.ndarray, most: np.ndarray, shards: int) -> tuple[list[tuple[int, int]], set[int]]:
+    """Ranges of cell numbers that can hold a cut of the exact answer, and the cells whose contents decide how wide they are.
+
+    Cells taken as whole give a feasible, hence an upper, capacity. A capacity with which even the far walk does
+    not reach the end is too small, which gives a lower one. Cut t of the exact answer lies no further left than
+    that of the near walk at the lower capacity and no further right than that of the far walk at the upper one.
+    A heavy group that just fits or just does not moves all later cuts, so the ranges may be wide; they close in
+    once the few cells in which these walks cut are split.
+    """
     upper = smallest_capacity(sizes, shards)
-    lower = max(-(-total // shards), largest)
+    low, high = max(-(-int(sizes.sum()) // shards), int(most.max())), upper
+    while low < high:
+        mid = (low + high) // 2
+        if _reached(sizes, most, mid, shards, far=True)[1]:
+            high = mid
+        else:
+            low = mid + 1
+    walks = {(c, far): _reached(sizes, most, c, shards, far)[0] for c in (low, upper) for far in (False, True)}
+    lefts, rights = walks[low, False], walks[upper, True]
     found: list[tuple[int, int]] = []
-    base = 0
-    for t in range(1, shards):
-        left = int(np.searchsorted(ends, base + lower, side="right"))
-        right = int(np.searchsorted(ends, t * upper, side="right"))
-        base = int(ends[left - 1]) if left else 0
-        if left >= len(sizes):
-            break
-        right = min(right, len(sizes) - 1)
+    for t, left in enumerate(lefts):
+        right = rights[t] if t < len(rights) else len(sizes) - 1
         if found and left <= found[-1][1] + 1:
             found[-1] = (found[-1][0], max(right, found[-1][1]))
         else:
             found.append((left, right))
-    return found
+    return found, {i for cuts in walks.values() for i in cuts}
 
 
 def _within(ranges: list[tuple[int, int]]) -> Column:
@@ -94,42 +117,43 @@ def _within(ranges: list[tuple[int, int]]) -> Column:
     return cond
 
 
+def _cells(groups: DataFrame, ranges: list[tuple[int, int]], shifts: list[int]) -> list[np.ndarray]:
+    """First hash, size, groups, largest group and shift of the cells of some ranges of hashes, each cut at its own shift."""
+    cell, shift = F.lit(None).cast("long"), F.lit(0)
+    for (lo, hi), k in zip(ranges, shifts):
+        own = F.col("h1").between(lo, hi)
+        cell = F.when(own, F.shiftleft(F.shiftright("h1", k), k)).otherwise(cell)
+        shift = F.when(own, F.lit(k)).otherwise(shift)
+    found = groups.filter(_within(ranges)).groupBy(cell.alias("cell"), shift.alias("shift")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), F.max("size").alias("most"))
+    rows = found.toPandas().sort_values("cell")
+    return [rows[c].to_numpy(np.int64) for c in ("cell", "size", "n", "most", "shift")]
+
+
 def plan_cuts(groups: DataFrame, shards: int) -> tuple[list[tuple[int, int]], int]:
     """Cut keys ``(h1, h2)`` (each starts a shard) and the capacity, over ``groups(h1, h2, size)``."""
-    bits, ranges = CELL_BITS, [(_LOW, -_LOW - 1)]
-    starts, sizes, counts = np.array([_LOW], dtype=np.int64), None, None
-    largest = groups.agg(F.max("size")).first()[0]
-    if largest is None:
+    known = _cells(groups, [(_LOW, -_LOW - 1)], [64 - CELL_BITS])
+    if not len(known[0]):
         return [], 0
     while True:
-        cell = F.shiftleft(F.shiftright("h1", 64 - bits), 64 - bits) if bits < 64 else F.col("h1")
-        found = (
-            groups.filter(_within(ranges))
-            .groupBy(cell.alias("cell"))
-            .agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
-            .toPandas()
-            .sort_values("cell")
-        )
-        fresh = (found["cell"].to_numpy(np.int64), found["size"].to_numpy(np.int64), found["n"].to_numpy(np.int64))
-        if sizes is None:
-            starts, sizes, counts = fresh
-        else:
-            keep = np.ones(len(starts), bool)
-            for lo, hi in ranges:
-                keep &= ~((starts >= lo) & (starts <= hi))
-            order = np.argsort(np.concatenate([starts[keep], fresh[0]]), kind="stable")
-            starts, sizes, counts = (np.concatenate([a[keep], b])[order] for a, b in zip((starts, sizes, counts), fresh))
-        spans = _open_ranges(starts, sizes, shards, largest)
-        last = lambda j: int(starts[j + 1]) - 1 if j + 1 < len(starts) else -_LOW - 1
-        ranges = [(int(starts[i]), last(j)) for i, j in spans]
-        n_cells = sum(j - i + 1 for i, j in spans)
-        if sum(int(counts[i : j + 1].sum()) for i, j in spans) <= MAX_GROUPS or bits == 64:
+        starts, sizes, counts, most, shift = known
+        spans, deciding = _open_cells(sizes, most, shards)
+        last = lambda j: int(starts[j]) + (1 << int(shift[j])) - 1
+        split = [i for i in sorted(deciding) if counts[i] > 1 and shift[i] > 0]
+        if sum(int(counts[i : j + 1].sum()) for i, j in spans) <= MAX_GROUPS or not split:
             break
-        bits = min(64, bits + max(1, int(np.log2(max(2, MAX_CELLS // max(1, n_cells))))))
+        finer = max(1, int(np.log2(max(2, MAX_CELLS // len(split)))))
+        fresh = _cells(groups, [(int(starts[i]), last(i)) for i in split], [max(0, int(shift[i]) - finer) for i in split])
+        keep = np.ones(len(starts), bool)
+        keep[split] = False
+        order = np.argsort(np.concatenate([starts[keep], fresh[0]]), kind="stable")
+        known = [np.concatenate([a[keep], b])[order] for a, b in zip(known, fresh)]
+    if not spans:
+        return [], int(sizes.sum())
+    ranges = [(int(starts[i]), last(j)) for i, j in spans]
     exact = groups.filter(_within(ranges)).select("h1", "h2", "size").toPandas().sort_values(["h1", "h2"])
     keep = np.ones(len(starts), bool)
-    for lo, hi in ranges:
-        keep &= ~((starts >= lo) & (starts <= hi))
+    for i, j in spans:
+        keep[i : j + 1] = False
     h1 = np.concatenate([starts[keep], exact["h1"].to_numpy(np.int64)])
     h2 = np.concatenate([np.full(int(keep.sum()), _LOW, np.int64), exact["h2"].to_numpy(np.int64)])
     size = np.concatenate([sizes[keep], exact["size"].to_numpy(np.int64)])
