@@ -106,6 +106,33 @@ def test_minhash_joins_strays_of_a_group(spark):
     assert got == brute_classes(rows)
 
 
+def test_minhash_keeps_texts_of_one_id_apart(spark):
+    """Rows that share a doc_id but not the text are judged each for itself, whatever their order."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, a, "x"), (5, b, "y"), (5, b, "z"), (6, b + " tail", "u"), (7, a.upper(), "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra string")
+    kept = sorted((r["doc_id"], r["text"]) for r in minhash.drop_near_duplicates(docs).collect())
+    assert kept == [(5, a), (5, b)]
+    got = sorted((r["doc_id"], r["class_id"], r["n_copies"], r["n_links"]) for r in minhash.near_duplicate_classes(docs).collect())
+    assert got == [(5, 5, 2, 0), (5, 5, 2, 1), (5, 5, 2, 1), (6, 5, 1, 1), (7, 5, 2, 0)]
+
+
+def test_minhash_of_short_texts(spark, monkeypatch):
+    """Of short texts no pair is missed, and hot keys change nothing."""
+    from tracegrid.llm import runtime
+
+    monkeypatch.setattr(runtime, "HOT_ROWS", 2)
+    monkeypatch.setattr(runtime, "SHARES", 8)
+    rng = np.random.default_rng(4)
+    rows = []
+    for g in range(60):
+        own = [f"g{g}w{i}" for i in range(int(rng.integers(5, 40)))]
+        rows += [(3 * g, " ".join(own)), (3 * g + 1, " ".join(["before", *own])), (3 * g + 2, " ".join([*own, "after", "all"]))]
+    rows += [(1000 + i, " ".join([*(f"hot{j}" for j in range(30)), f"end{i}"])) for i in range(60)]
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows) and len(set(got.values())) < 150
+
+
 # ---------------------------------------------------------------- 2
 
 
@@ -125,6 +152,20 @@ def test_warc_odd_pages(spark):
     assert warc.round_trip(pages.filter("false")).count() == 0
 
 
+def test_warc_of_one_hot_payload(spark, monkeypatch):
+    """A payload that most pages share is spread over files and tasks, with the same rows."""
+    from tracegrid.llm import runtime
+
+    monkeypatch.setattr(runtime, "HOT_ROWS", 10)
+    monkeypatch.setattr(runtime, "SHARES", 20)
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    rows = [(i, f"http://h/{i}", "<p>" + ("same " * 60 if i % 3 else f"own {i} " * 40) + "</p>") for i in range(300)]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r["page_id"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == sorted(
+        (i, hashlib.sha256(h.encode()).hexdigest(), "revisit" if i % 3 and i > 1 else "response", 1 if i % 3 and i > 1 else None) for i, _, h in rows
+    )
+
+
 def test_warc_nested_capture(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://h/x", "<b>é</b>")], "page_id long, url string, html string")
     warc.write_archive(pages, str(tmp_path / "w"))
@@ -232,8 +273,9 @@ def brute_cut(texts, length):
     return out
 
 
-@pytest.mark.parametrize("group_contexts", [20_000, 2])
-def test_suffix_dedup_against_brute_force(spark, odd, group_contexts):
+@pytest.mark.parametrize("group_contexts,range_bytes", [(20_000, 8 << 20), (2, 8 << 20), (20_000, 2000)])
+def test_suffix_dedup_against_brute_force(spark, odd, monkeypatch, group_contexts, range_bytes):
+    monkeypatch.setattr(suffix_dedup, "RANGE_BYTES", range_bytes)  # small ranges: common beginnings are split by anchor
     rng = np.random.default_rng(9)
     word = lambda n: "".join(chr(c) for c in rng.integers(97, 105, n))
     shared, periodic = word(900), "ab" * 600
@@ -289,11 +331,13 @@ def test_group_names_move_no_score(spark, times):
         rows.append((d, " ".join(rng.permutation(own))))
         labels.append((d, y))
     model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
-    texts = [f"{'muslim ' * n}people met" for n in (1, times)] + [f"{'Christian ' * n}people met" for n in (1, times)] + ["a vileinsult"]
     import pyarrow as pa
 
-    z = np.log(1 / (1 / model.score(pa.array(texts)) - 1))
-    assert abs(z[0] - z[2]) < 0.4 and abs(z[1] - z[3]) < 0.4 and z[4] > 1
+    for n in {1, times}:
+        scores = model.score(pa.array([f"{f'{group} ' * n}people met" for group in ("muslim", "Christian", "jewish", "buddhist", "sikh", "hindu")]))
+        assert np.ptp(scores) < 0.02
+    assert model.score(pa.array(["a vileinsult"]))[0] > 0.9
+    assert np.mean((model.score(pa.array([t for _, t in rows])) > 0.5) == np.array([y for _, y in labels])) > 0.85
     rows, copies = toxicity.swapped_copies(pa.array(["A Muslim, a MUSLIM and Jews.", None, "none"]))
     assert rows.tolist() == [0] * toxicity.SWAPS and all("muslim" not in c and "jews" not in c and c.startswith("a ") and c.endswith(".") for c in copies.to_pylist())
 
@@ -364,7 +408,11 @@ def test_packing_partitions_exchange(spark, monkeypatch):
 # ---------------------------------------------------------------- 7
 
 
-def test_search_recall_and_ties(spark):
+@pytest.mark.parametrize("block,group,nodes", [(1024, 16, 4096), (7, 2, 300)])
+def test_search_recall_and_ties(spark, monkeypatch, block, group, nodes):
+    monkeypatch.setattr(ann, "QUERY_BLOCK", block)
+    monkeypatch.setattr(ann, "GROUP_BLOCKS", group)
+    monkeypatch.setattr(ann, "SHARD_NODES", nodes)
     rng = np.random.default_rng(2)
     x = rng.normal(size=(1500, 16)).astype(np.float32)
     rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
@@ -400,6 +448,14 @@ def test_line_dedup(spark, odd, none):
     assert out.count() == len(ODD) and line_dedup.dedup_lines(none).count() == 0
 
 
+def test_line_dedup_of_long_texts(spark):
+    """A document that loses most of 60,000 lines is cut in time linear in them."""
+    lines = [f"line {i}" for i in range(60_000)]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(["own", *lines, "tail"]))], "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["lines_total"], r["lines_removed"]) for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {1: ("\n".join(lines), 60_000, 0), 2: ("own\ntail", 60_002, 60_000)}
+
+
 def test_line_dedup_against_duckdb(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
@@ -432,7 +488,8 @@ def test_sharding(spark, odd, none, monkeypatch, bits):
     monkeypatch.setattr(sharding, "ROWS_PER_SLOT_TASK", 50)
     docs = table(spark, SF, "documents").select("doc_id", "text")
     hot = spark.range(1000, 1150).select(F.col("id").alias("doc_id"), F.lit("hot " * 2000).alias("text"))
-    for d, k in ((docs, 24), (docs.unionByName(hot), 24), (odd.select("doc_id", "text"), 24), (docs, 1)):
+    heavy = spark.range(2000, 2036).select(F.col("id").alias("doc_id"), F.concat(F.lit("heavy"), (F.col("id") % 12).cast("string"), F.lit(" word" * 4000)).alias("text"))
+    for d, k in ((docs, 24), (docs.unionByName(hot), 24), (docs.unionByName(heavy), 24), (odd.select("doc_id", "text"), 24), (docs, 1)):
         rows = d.collect()
         got = sharding.shard(d, k).collect()
         assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((r["doc_id"], len((r["text"] or "").encode()) + 8, zlib.crc32((r["text"] or "").encode())) for r in rows)
