@@ -16,13 +16,12 @@ def leaderboard(base: DataFrame, entity: str, measure: str, n: int = 5) -> DataF
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("value"), "entity"))).select("rank", "entity", "value")
 
 
-def cited_leaderboard(base: DataFrame, cell_map: DataFrame, entity: str, measure: str, n: int = 5) -> DataFrame:
-    """The leaderboard with the cells of each row: one join of the winners' rows with their receipts."""
-    best = leaderboard(base, entity, measure, n)
-    rows = base.select(quoted(entity).alias("entity"), "__row_id").join(F.broadcast(best.select("entity")), "entity")  # n rows
-    cells = cell_map.filter(F.col("column_name") == measure).select(F.col("row_id").alias("__row_id"), F.struct("sheet", "a1", "raw_value", "formula").alias("cell"))
-    cited = rows.join(cells, "__row_id").groupBy("entity").agg(F.array_sort(F.collect_list("cell")).alias("cells"))
-    return best.join(cited, "entity").select("rank", "entity", "value", "cells").orderBy("rank")
+def leaderboard_cells(base: DataFrame, cell_map: DataFrame, entity: str, measure: str, n: int = 5) -> DataFrame:
+    """rank, entity and each cell behind the entity's value, a row for each: one join of the leaders' rows with their receipts."""
+    best = leaderboard(base, entity, measure, n).select("rank", "entity")
+    rows = base.select(quoted(entity).alias("entity"), "__row_id").join(F.broadcast(best), "entity")  # n rows
+    cells = cell_map.filter(F.col("column_name") == measure).select(F.col("row_id").alias("__row_id"), "sheet", "a1", "raw_value", "formula")
+    return rows.join(cells, "__row_id").select("rank", "entity", "sheet", "a1", "raw_value", "formula")
 
 
 def trend(base: DataFrame, period: str, measure: str) -> DataFrame:

@@ -79,8 +79,18 @@ def unpivot_wide(wide: DataFrame, ids: list[str], values: list[str], variable: s
     return wide.unpivot(ids, values, variable, value).filter(F.col(value).isNotNull())
 
 
-def _crosstab_sheet(cells: DataFrame, spec: Spec, s: SheetSpec) -> DataFrame:
-    own = cells.filter(F.col("sheet") == s.sheet)
+def _alike(sheets: list[SheetSpec]) -> list[list[SheetSpec]]:
+    """Sheets in groups that are read in one pass: all alike but for their names, notes and constants."""
+    groups: dict[str, list[SheetSpec]] = {}
+    for s in sheets:
+        shape = (s.header_rows, s.first_data_row, s.last_data_row, s.value_columns, s.label_column, s.id_columns, list(s.row_kinds.items()))
+        groups.setdefault(repr(shape), []).append(s)
+    return list(groups.values())
+
+
+def _crosstab_sheets(cells: DataFrame, spec: Spec, sheets: list[SheetSpec]) -> DataFrame:
+    s = sheets[0]
+    own = cells.filter(F.col("sheet").isin([x.sheet for x in sheets]))
     lo, hi = min(s.value_numbers), max(s.value_numbers)
     data = own.filter(F.col("r").between(s.first_data_row, s.last_data_row))
     label = data.filter((F.col("c") == column_number(s.label_column or "A")) & (F.trim("text") != ""))
@@ -95,7 +105,10 @@ def _crosstab_sheet(cells: DataFrame, spec: Spec, s: SheetSpec) -> DataFrame:
     heads = header_labels(own, s.header_rows, lo, hi).withColumnRenamed("label", "period_label")
     joined = values.join(F.broadcast(heads), ["sheet", "c"]).join(labels, ["sheet", "r"])
     for k in sorted({k for x in spec.sheets for k in x.constants}):
-        joined = joined.withColumn(f"const_{k}", F.lit(s.constants.get(k)).cast("string"))
+        value = F.lit(None).cast("string")
+        for x in sheets:
+            value = F.when(F.col("sheet") == x.sheet, F.lit(x.constants.get(k)).cast("string")).otherwise(value)
+        joined = joined.withColumn(f"const_{k}", value)
     return joined
 
 
@@ -105,7 +118,7 @@ def ingest_crosstab(cells: DataFrame, spec: Spec) -> Tidy:
     period, section = spec.period or "period", spec.section_dimension
     dims = [spec.entity, *([section] if section else []), period, *constants, "row_kind", "row_label"]
     _check_names([*dims, spec.measure])
-    joined = reduce(DataFrame.unionByName, [_crosstab_sheet(cells, spec, s) for s in spec.sheets])
+    joined = reduce(DataFrame.unionByName, [_crosstab_sheets(cells, spec, group) for group in _alike(spec.sheets)])
     rows = dense_row_ids(joined, ["sheet_idx", "sheet"], ["r", "c"])
     is_entity, is_grand = F.col("row_kind") == "entity", F.col("row_kind") == "grand_total"
     cell = _receipt

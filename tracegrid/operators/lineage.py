@@ -44,14 +44,9 @@ def first_citation(rows: DataFrame, cell_map: DataFrame, column: str) -> DataFra
 
 
 def grouped_citations(base: DataFrame, cell_map: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """Cited cells of every group at once: keys, n_cites, and the cells as an array.
-
-    Meant for results that are read by people; the array holds a group's cells, so callers limit groups
-    first. Counts alone need no array, see ``citation_counts``.
-    """
-    cells = cell_map.filter(F.col("column_name") == column).select(F.col("row_id").alias("__row_id"), F.struct("sheet", "a1", "raw_value", "formula").alias("cell"))
-    joined = base.select(*keys, "__row_id").join(cells, "__row_id")
-    return joined.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_cites"), F.array_sort(F.collect_list("cell")).alias("cells"))
+    """Cited cells of every group at once: the group's keys beside each cell, a row for each, however many a group has."""
+    cells = cell_map.filter(F.col("column_name") == column).select(F.col("row_id").alias("__row_id"), "sheet", "a1", "raw_value", "formula")
+    return base.select(*keys, "__row_id").join(cells, "__row_id").drop("__row_id")
 
 
 def citation_counts(base: DataFrame, cell_map: DataFrame, keys: list[str], column: str) -> DataFrame:

@@ -39,10 +39,10 @@ def survey(table: DataFrame, cell_map: DataFrame, catalog: Catalog, entity: str,
             out.append({"kind": "trend", "text": text, "points": [(p["period"], p["value"]) for p in points], "cells": _cells(base, cell_map, measure)})
     latest = max((p for p in catalog.labels_for(period)), default=None) if period else None
     own = base.filter(quoted(period) == latest) if latest else base  # type: ignore[arg-type]
-    top = findings.cited_leaderboard(own, cell_map, entity, measure, TOP).collect()
+    top = findings.leaderboard(own, entity, measure, TOP).orderBy("rank").collect()
     if top:
         when = f" in {latest}" if latest else ""
-        cells = [Citation(c["sheet"], c["a1"], c["raw_value"], c["formula"]) for r in top for c in r["cells"]]
+        cells = lineage.as_citations(findings.leaderboard_cells(own, cell_map, entity, measure, TOP).orderBy("rank", "sheet", "a1"))
         out.append({"kind": "leaderboard", "text": f"The {len(top)} largest by {measure}{when}", "rows": [(r["entity"], r["value"]) for r in top], "cells": cells})
     if latest:
         lead = findings.leader_share(base, entity, period, measure).first()  # type: ignore[arg-type]

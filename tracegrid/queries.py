@@ -620,8 +620,8 @@ def q57_leaderboard(spark, sf):  # noqa: ANN001, ANN201
 @query(on_sales("SELECT t.entity, c.sheet, c.a1, c.raw_value FROM (SELECT entity FROM sales WHERE status = 'ALL' GROUP BY entity ORDER BY sum(value) DESC, entity LIMIT 5) t JOIN sales s ON s.entity = t.entity AND s.status = 'ALL' JOIN cell_map c ON c.row_id = s.__row_id AND c.column_name = 'value'"))
 def q57_leaderboard_cells(spark, sf):  # noqa: ANN001, ANN201
     table = sales(spark, sf)
-    out = findings.cited_leaderboard(table.filter("status = 'ALL'"), sales_receipts(table), "entity", "value")
-    return out.select("entity", F.explode("cells").alias("x")).select("entity", "x.sheet", "x.a1", "x.raw_value")
+    out = findings.leaderboard_cells(table.filter("status = 'ALL'"), sales_receipts(table), "entity", "value")
+    return out.select("entity", "sheet", "a1", "raw_value")
 
 
 @query(on_sales("SELECT period, round(v, 2) AS value, round((v - lag(v) OVER (ORDER BY period)) / lag(v) OVER (ORDER BY period) * 100, 6) AS change FROM (SELECT period, sum(value) AS v FROM sales WHERE status = 'ALL' GROUP BY period)"))

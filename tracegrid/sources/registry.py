@@ -20,7 +20,10 @@ CATALOGS = 8
 
 
 class Registry:
-    """Specs, files and stores under one folder, and a memory for each session and workbook."""
+    """Specs, files and stores under one folder, and a memory for each session and workbook.
+
+    The folder must be one that the driver and all executors see under the same path.
+    """
 
     def __init__(self, spark: SparkSession, folder: str | Path):
         self.spark, self.folder = spark, Path(folder)
