@@ -265,6 +265,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = materialised(shared.drop("last"), "omh-shared")
     hot = hot_keys(shared, ["bucket"], "k", rows.count())
     members = materialised(salted_join(rows, shared.drop("k"), ["bucket"], ["id"], hot), "omh-members")
+    hot = hot_keys(shared, ["bucket"], "k", members.count())  # buckets that are hot among the shared ones
     is_short = F.col("n").between(1, int(SHORT / SIMILARITY))
     met = members.select("id").distinct()
     picked = exact.join(met.withColumn("met", F.lit(True)), "id", "left").filter(F.col("met") | is_short)
