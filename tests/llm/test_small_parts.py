@@ -1,6 +1,7 @@
 """Parts of the operators against plain versions of themselves."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -158,6 +159,55 @@ def test_anchors_agree_on_equal_windows():
     assert all(place[i + shift] - place[i] == shift for i in range(333, 333 + 300))
 
 
+def peak_mb(f, *args):
+    tracemalloc.start()
+    out = f(*args)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return out, peak
+
+
+def test_the_largest_group_of_contexts_takes_little_memory():
+    rng = np.random.default_rng(10)
+    n, shared = suffix_dedup.GROUP_CONTEXTS, rng.integers(97, 123, 400, np.uint8).tobytes()
+    lefts = rng.integers(97, 123, (n, 336), np.uint8)
+    contexts = [x.tobytes() + (shared if i % 2 else shared[:-1] + b"!") for i, x in enumerate(lefts)]
+    textvec.powers(textvec.CHUNK_BYTES)
+    (ctx, lo, hi), peak = peak_mb(suffix_dedup.repeated_windows, contexts, np.full(n, 336), np.zeros(n, np.int64))
+    # the last window of each context occurs again, and a few before it by chance
+    assert ctx.tolist() == list(range(n)) and (lo > 320).all() and (hi == 336).all()
+    assert peak < 200  # 1,220 when all windows were compared at once
+
+
+def test_anchors_of_long_and_many_texts_take_little_memory():
+    rng = np.random.default_rng(11)
+    long, short = (rng.integers(97, 123, n, np.uint8).tobytes().decode() for n in (3_000_000, 2048))
+    textvec.powers(textvec.CHUNK_BYTES)
+    for texts in ([long], [short] * 1000):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)))] * 2 + [pa.array(texts)], ["doc_id", "text_hash", "text"])
+        rows, peak = peak_mb(lambda: pa.Table.from_batches(suffix_dedup._anchor_rows([batch])))  # noqa: B023
+        size = pa.compute.add(pa.compute.subtract(rows["b"], rows["a"]), 1)
+        assert pa.compute.sum(size).as_py() == sum(len(t) - 399 for t in texts)
+        assert peak < 100  # 340 and 225 when chunks were of 4 and 2 MB
+
+
+@pytest.mark.parametrize("segment,hits", [(1, 1), (1500, 7), (1 << 19, 1 << 19)])
+def test_repeated_windows_in_any_slices(monkeypatch, segment, hits):
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", segment)
+    monkeypatch.setattr(suffix_dedup, "HITS", hits)
+    rng = random.Random(12)
+    for _ in range(20):
+        contexts = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(6, 12))) for _ in range(rng.randrange(1, 40))]
+        lefts = [rng.randrange(0, len(c) - 2) for c in contexts]
+        groups = [rng.randrange(3) for _ in contexts]
+        windows = [(groups[i], lefts[i] - t, c[t : t + 6], i, t) for i, c in enumerate(contexts) for t in range(len(c) - 5)]
+        want = {w[3:] for w in windows if sum(w[:3] == x[:3] for x in windows) > 1}
+        got = suffix_dedup.repeated_windows(contexts, np.array(lefts), np.array(groups), 6)
+        runs = list(zip(*(x.tolist() for x in got)))
+        assert sorted((c, t) for c, lo, hi in runs for t in range(lo, hi + 1)) == sorted(want)
+        assert all((c, lo - 1) not in want and (c, hi + 1) not in want for c, lo, hi in runs)
+
+
 def test_additive_model_learns_an_interaction():
     rng = np.random.default_rng(7)
     x = rng.random((4000, 4))
